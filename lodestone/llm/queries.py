@@ -35,11 +35,11 @@ pairs AS (
 links AS (
   SELECT x, y FROM pairs JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
   WHERE 100 * c >= 75 * (sx.n + sy.n - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION
-  SELECT r.doc_id, b.y FROM reach r JOIN both b ON b.x = r.other)
+  SELECT r.doc_id, b.y FROM reach r JOIN either b ON b.x = r.other)
 SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id)
 GROUP BY d.doc_id

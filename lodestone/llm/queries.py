@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secrets, toxicity
+from . import ann, jaccard, langid, mixing, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON c.vec_id != q.vec_id AND len(c.v) = len(q.v)
+  WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.learn(docs))
@@ -131,8 +151,8 @@ FROM placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+    return {"op1_jaccard": op1_jaccard, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": OP1_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_jaccard": OP1_SQL, "op4_ann": OP4_SQL, "op10_mixing": OP10_SQL}

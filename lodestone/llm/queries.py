@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, mixing, packing, quality, secrets, toxicity
+from . import ann, jaccard, langid, lm, mixing, packing, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ GROUP BY d.doc_id
 """
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.learn(docs))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -151,7 +156,7 @@ FROM placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+    return {"op1_jaccard": op1_jaccard, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

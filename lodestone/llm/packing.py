@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import staged
-from .words import WORD_RE, Cache, slices
+from .words import WORD_RE, slices
 
 LENGTH = 2048
 OPEN_BINS = 1024
@@ -61,16 +61,72 @@ class BestFit:
         return number
 
 
-def _encoder(path: str):
-    """ids of a run of non-white characters as little-endian unsigned ints.
+class Encoder:
+    """ids of texts as little-endian unsigned ints.
 
     The tokenizer drops white space and never looks across it, so the ids of a
-    text are those of its words in turn.
+    text are those of its words in turn, and each word is encoded once as long
+    as the table holds it. Words of letters only, which are one unit to the
+    tokenizer, are encoded many at a time: the ids that end a unit tell them
+    apart. Should their number differ, the words are encoded one by one.
     """
-    from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    return Cache(lambda word: np.array(made.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+    LIMIT, GROUP = 800_000, 2_000
+    #: By path, so that the tasks of one worker process share a table.
+    made_before: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.made_before:
+            cls.made_before[path] = cls(path)
+        return cls.made_before[path]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.made = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.made.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.made.get_vocab().items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.split: set[str] = set()  # may be more than one unit each
+        self.stops = {c: self._each([c])[0] for c in ".,"}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.made.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _units(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.made.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            self.split.update(words)
+            return self._each(words)
+        flat, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def learn(self, words: set[str]) -> None:
+        new, known = words.difference(self.known), self.known
+        letters = [w for w in new if w.isalpha()]
+        stopped = [w for w in new if w[-1] in self.stops and w[:-1].isalpha()]
+        rest = list(new.difference(letters, stopped))
+        units = list({*letters, *(w[:-1] for w in stopped)}.difference(known))
+        for at in range(0, len(units), self.GROUP):
+            group = units[at : at + self.GROUP]
+            known.update(zip(group, self._units(group), strict=True))
+        known.update(zip(rest, self._each(rest), strict=True))
+        # a unit that the tokenizer splits may join what follows: not taken apart
+        odd = [w for w in stopped if w[:-1] in self.split] if self.split else []
+        known.update(zip(odd, self._each(odd), strict=True))
+        for w in set(stopped).difference(odd):
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # the tokenizer ignores case; in texts of ASCII only, lowering is safe before NFC
+        words = [WORD_RE.findall(t.lower() if t.isascii() else t) for t in texts]
+        if len(self.known) > self.LIMIT:
+            self.known, self.split = {}, set()
+        self.learn(set().union(*words))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in words]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0) -> DataFrame:
@@ -82,11 +138,12 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer).__getitem__, np.array([end_id], "<u4").tobytes()
+        encode, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(encode, WORD_RE.findall(text or ""))) + end
+            coded = encode([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

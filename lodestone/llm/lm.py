@@ -215,7 +215,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for batch in slices(batches):
             ids, counts = buckets(_read(batch, 1))
             each = held.value.score(*padded(ids, counts))
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts))
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts)).astype(float)
             mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, lm, mixing, packing, quality, secrets, toxicity
+from . import ann, jaccard, langid, lm, mixing, packing, quality, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs), carry=("doc_id",))
@@ -156,7 +160,7 @@ FROM placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard": op1_jaccard, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+    return {"op1_jaccard": op1_jaccard, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_substrings": op6_substrings, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

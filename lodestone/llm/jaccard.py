@@ -125,6 +125,23 @@ def sketches(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return prints, bands
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each value of the elements' last bits, about two an element:
+    whether an odd number of elements has it. Of two sets, at least as many
+    elements are in one alone as bits differ."""
+    bits = max(64, 1 << int(2 * len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits(np.bincount((own & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the elements in one set alone, from two such bit rows;
+    the longer one folds onto the other."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    while len(large) > len(small):
+        large = large[: len(large) // 2] ^ large[len(large) // 2 :]
+    return int(np.bitwise_count(small ^ large).sum())
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -134,7 +151,7 @@ def _texts(batch: pa.RecordBatch, at: int = 1) -> list[str]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, the print (p, q) and bands; and rows without a
+    """Per row: doc_id, n, the print (p, q), bands and parity bits; and rows without a
     doc_id but with a hot bucket and the number of sets that share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,20 +161,21 @@ def described(docs: DataFrame) -> DataFrame:
             shared += np.bincount((elements >> U(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
             total += len(elements)
             prints, bands = sketches(elements, sizes)
-            rows, none = len(sizes), [None] * len(sizes)
+            rows, none, ends = len(sizes), [None] * len(sizes), np.cumsum(sizes).tolist()
+            bits = pa.array([parities(elements[e - n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), _signed(prints[:, 0]), _signed(prints[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * BANDS, BANDS, dtype=np.int32)), _signed(bands.ravel())), pa.array(none, pa.int32()), pa.array([False] * rows)], NAMES
+                [batch.column(0), pa.array(sizes), _signed(prints[:, 0]), _signed(prints[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * BANDS, BANDS, dtype=np.int32)), _signed(bands.ravel())), bits, pa.array(none, pa.int32()), pa.array([False] * rows)], NAMES
             )
         hot = np.flatnonzero(shared >= HOT_LEAST + 4 * total / len(shared))
         blank = [None] * len(hot)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blank, pa.int64()), pa.array(shared[hot]), pa.array(blank, pa.int64()), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
+            [pa.array(blank, pa.int64()), pa.array(shared[hot]), pa.array(blank, pa.int64()), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(blank, pa.binary()), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, p long, q long, bands array<long>, bucket int, hot boolean")
+    return docs.mapInArrow(run, "doc_id long, n long, p long, q long, bands array<long>, bits binary, bucket int, hot boolean")
 
 
-NAMES = ["doc_id", "n", "p", "q", "bands", "bucket", "hot"]
+NAMES = ["doc_id", "n", "p", "q", "bands", "bits", "bucket", "hot"]
 
 
 def hot_buckets(spark, rows: DataFrame) -> np.ndarray:
@@ -329,6 +347,22 @@ def candidates(index: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose parity bits leave a link possible: of sets that link,
+    at most (PART - WHOLE) / (PART + WHOLE) of all elements are in one alone."""
+    side = classes.select("rep", "n", "bits")
+    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (PART - WHOLE) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+            apart = [differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            keep = (PART + WHOLE) * np.array(apart, np.int64) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def single_lists_out(table: pa.Table) -> pa.Table:
     """Without the elements that one set alone has."""
     token = table.column(0).to_numpy()
@@ -350,7 +384,7 @@ def components(docs: DataFrame) -> DataFrame:
     rows = staged(described(docs), "jaccard")
     own = rows.filter("NOT hot")
     sets = own.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(sets.groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands")).alias("first")).select("p", "q", "rep", "first.bands"), "classes")
+    classes = staged(sets.groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(F.struct("doc_id", "bands", "bits")).alias("first")).select("p", "q", "rep", "n", "first.bands", "first.bits"), "classes")
 
     # answers shared: each set of a band against the smallest of the band
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -362,7 +396,7 @@ def components(docs: DataFrame) -> DataFrame:
     # the rest from the index
     vertices = classes.select(F.col("rep").alias("node")).distinct().join(parts, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("label", "node").alias("part"))
     index = posted(prefixes(docs, hot_buckets(spark, rows)).join(vertices, "doc_id"))
-    more = linked(staged(candidates(index), "candidates"), docs)
+    more = linked(staged(plausible(candidates(index), classes), "candidates"), docs)
     edges = near.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = staged(labels(edges), "components")
 

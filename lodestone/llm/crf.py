@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 
@@ -78,6 +79,17 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndar
     return path
 
 
+class Index(dict):
+    """Numbers words in the order they come; '' is 0, the blank word."""
+
+    def __init__(self, *given):
+        super().__init__(*given or ({"": 0},))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Chain:
     """Weights of a chain over ``states`` states; ``features`` names those of a word."""
 
@@ -90,27 +102,21 @@ class Chain:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index = Index()
         self.table = np.zeros((1, 3 * self.states), np.float32)
 
     def __getstate__(self):
-        return self.__dict__ | {"index": {"": 0}, "table": np.zeros((1, 3 * self.states), np.float32)}
+        return self.__dict__ | {"index": Index(), "table": np.zeros((1, 3 * self.states), np.float32)}
 
     def _row(self, word: str) -> np.ndarray:
         return self.words[:, self.features(word)].sum(1).ravel()
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Rows of the table, which grows by the words not seen before."""
-        index = self.index
-        ids = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
-        if len(ids) and ids.min() < 0:
-            new = {words[i]: 0 for i in np.flatnonzero(ids < 0)}
-            rows = np.array([self._row(w) for w in new], np.float32)
-            for k, w in enumerate(new):
-                index[w] = len(self.table) + k
-            self.table = np.concatenate([self.table, rows])
-            for i in np.flatnonzero(ids < 0):
-                ids[i] = index[words[i]]
+        ids = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        if len(self.index) > len(self.table):
+            new = list(islice(self.index, len(self.table), None))
+            self.table = np.concatenate([self.table, np.array([self._row(w) for w in new], np.float32)])
         return ids
 
     def blocks(self, texts: list[list[str]], notes: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "profile")
+MODULES = ("relational", "profile", "retrieval")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

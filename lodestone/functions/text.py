@@ -3,8 +3,10 @@ other engines read alike."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +94,11 @@ def words(text: Column, stop: bool = True, least: int = 2) -> Column:
 # Characters of extracted documents and what stands for them.
 PLAIN = {
     "-": "–—―−",
-    "•": "•‣▪●․·‧",
+    "•": "•‣▪●․\uf0b7·‧",
     "'": "‘’",
     '"': "“”",
-    " ": " ",
-    "": "​‌‍﻿â",
+    " ": "\u00a0",
+    "": "\u200b\u200c\u200d\ufeffâ",
 }
 
 
@@ -106,15 +108,11 @@ def plain_characters(text: Column) -> Column:
     kept = [(c, to) for to, chars in PLAIN.items() for c in chars if to]
     dropped = PLAIN[""]
     mapped = F.translate(text, "".join(c for c, _ in kept) + dropped, "".join(t for _, t in kept))
-    return F.regexp_replace(mapped, "[-]", "")
+    return F.regexp_replace(mapped, "[\ue000-\uf8ff]", "")
 
 
 def composed(text: Column) -> Column:
     """Unicode NFC, which Spark has no function for."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "profile", "retrieval", "texts")
+MODULES = ("relational", "profile", "retrieval", "texts", "apps")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bits, jaccard, langid, mixing, packing, secrets
 from lodestone.llm.scratch import staged
+from lodestone.llm.words import text_batches
 
 #: SQL has no language model, chain or tokenizer; tests compare with brute force.
 ORACLE_SQL: str | None = None
@@ -18,6 +19,7 @@ ORACLE_SQL: str | None = None
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is not identified go: no letter, or no language
     that is at least half probable."""
+    text_batches(spark)
     return langid.kept(docs, langid.learn(docs))
 
 
@@ -50,7 +52,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    # workers have held the tables of the stages before
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import labels
 from .scratch import staged
-from .words import slices
+from .words import claim, slices
 
 WIDTH = 5
 #: Two sets link when PART * intersection >= WHOLE * union.
@@ -61,6 +61,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     The bytes of UTF-8 do: white space is ASCII, and so are A to Z.
     """
+    claim()
     raw = [t.encode("utf-8", "surrogatepass").lower() + b"\n" for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     white = _WHITE[data]
@@ -158,7 +159,7 @@ def described(docs: DataFrame) -> DataFrame:
         shared, total = np.zeros(1 << HOT_BITS, np.int64), 0
         for batch in slices(batches):
             elements, sizes = shingle_sets(_texts(batch))
-            shared += np.bincount((elements >> U(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
+            np.add.at(shared, (elements >> U(64 - HOT_BITS)).astype(np.int64), 1)
             total += len(elements)
             prints, bands = sketches(elements, sizes)
             rows, none, ends = len(sizes), [None] * len(sizes), np.cumsum(sizes).tolist()

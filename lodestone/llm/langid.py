@@ -10,6 +10,7 @@ texts of any length go through the same few vector operations.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import slices
+from .scratch import SPARE, below, staged
+from .words import claim, slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
 #: The classifier learns from at most so many documents of a language, those
 #: whose ids have the lowest hashes, and at most so many in all.
 PER_LANGUAGE, SAMPLE = 500, 8_000
+#: More languages than this are joined by shuffle instead of broadcast.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -37,6 +41,7 @@ class Grams:
     letters: np.ndarray | None = None
 
     def __init__(self):
+        claim()
         if Grams.letters is None:
             Grams.letters = _letters()
 
@@ -199,10 +204,16 @@ def learn(docs: DataFrame) -> Model:
             counts[r.bucket] = r.n
     idf = np.log((1 + total) / (1 + counts)) + 1
 
+    # a share of each language's hashes first, so that no task orders them all
+    named = staged(rows.select("doc_id", "lang"), "languages")
+    sizes = staged(named.groupBy("lang").agg(F.count("*").alias("of")), "language-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
+    some = named.join(sizes, "lang").filter(below("doc_id", F.lit(SPARE * PER_LANGUAGE) / F.col("of")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
-    picked = picked.orderBy("place", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * SAMPLE).collect()
+    picked = some.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
+    picked = staged(picked.orderBy("place", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct(), "picked")
+    sample = rows.join(F.broadcast(picked), "doc_id").limit(2 * SAMPLE).collect()
+    sample = sorted(sample, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id or 0, r.lang, r.text))
     return train([r.text for r in sample], [r.lang for r in sample], idf)
 
 

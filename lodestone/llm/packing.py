@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import staged
-from .words import WORD_RE, slices
+from .words import WORD_RE, claim, slices
 
 LENGTH = 2048
 OPEN_BINS = 1024
 #: Pieces that one packing task takes; its open bins at the end are the only
 #: loss against packing all in one task.
 PIECES_PER_TASK = 2_000_000
+#: Words whose ids a worker remembers: about 200 bytes each.
+REMEMBER = 800_000
 
 
 class BestFit:
@@ -71,19 +73,25 @@ class Encoder:
     apart. Should their number differ, the words are encoded one by one.
     """
 
-    LIMIT, GROUP = 800_000, 2_000
-    #: By path, so that the tasks of one worker process share a table.
-    made_before: dict[str, Encoder] = {}
+    GROUP = 2_000
+    #: By their arguments, so that the tasks of one worker process share a table.
+    made_before: dict[tuple[str, int], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls.made_before:
-            cls.made_before[path] = cls(path)
-        return cls.made_before[path]
+    def of(cls, path: str, remember: int) -> Encoder:
+        key = (path, remember)
+        if key not in cls.made_before:
+            cls.made_before[key] = cls(path, remember)
+        claim(cls.made_before[key])
+        return cls.made_before[key]
 
-    def __init__(self, path: str):
+    def forget(self) -> None:
+        self.known, self.split = {}, set()
+
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
+        self.remember = remember
         self.made = Tokenizer.from_file(path)
         self.ends = np.zeros(self.made.get_vocab_size(), bool)
         self.ends[[i for token, i in self.made.get_vocab().items() if token.endswith("</w>")]] = True
@@ -122,23 +130,24 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         # the tokenizer ignores case; in texts of ASCII only, lowering is safe before NFC
         words = [WORD_RE.findall(t.lower() if t.isascii() else t) for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known, self.split = {}, set()
+        if len(self.known) > self.remember:
+            self.forget()
         self.learn(set().union(*words))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each row.
 
     Null text counts as empty; an empty text still has the end id, so every
     row, repeated ones too, gives at least one piece. Texts are never cut
-    before their tokens are; other columns are not read.
+    before their tokens are; other columns are not read. ``remember`` trades
+    memory of the workers for time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = Encoder.of(tokenizer, remember), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
             coded = encode([t or "" for t in batch.column(1).to_pylist()])

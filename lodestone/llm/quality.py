@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WORD_RE, slices
+from .words import WORD_RE, claim, slices
 
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 WINDOW = 3
@@ -128,6 +128,7 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def measure(texts: list[str]) -> list[tuple]:
     """The values of COLUMNS for each text."""
+    claim()
     words = [WORD_RE.findall(t) for t in texts]
     repeated, covered, longest = (x.tolist() for x in Suffixes(words).measure())
     out = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,3 +37,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Resolution of hash shares, and how many times the wanted rows first pass.
+SHARES, SPARE = 1 << 30, 4
+
+
+def below(key: str, share: Column) -> Column:
+    """Whether the hash of a row's key lies within a share of all hashes."""
+    return F.pmod(F.xxhash64(key), F.lit(SHARES)) < F.least(share, F.lit(1.0)) * SHARES
+
+
+def lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows whose keys have the lowest hashes. A share of the hashes that
+    holds about SPARE times as many goes first, so that what the tasks send to
+    the final ordering does not grow with their number."""
+    total = rows.count()
+    some = rows.filter(below(key, F.lit(SPARE * n / max(1, total)))) if total > SPARE * n else rows
+    return some.orderBy(F.xxhash64(key), key).limit(n)

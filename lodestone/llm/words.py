@@ -1,9 +1,12 @@
-"""Words, batches and word-keyed caches shared by the Arrow operators."""
+"""Words, slices of batches and the one word table of a worker process."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 
@@ -13,7 +16,19 @@ WORD_RE = re.compile(WORD)
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 #: Arrow batches are worked on in slices of about this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Spark's rows of an Arrow batch by default, and here, where rows hold texts.
+DEFAULT_ROWS, TEXT_ROWS = "10000", "2000"
+
+
+def text_batches(spark) -> None:
+    """Have the session send fewer texts to Python at a time, unless it was set
+    up otherwise; executors hold a batch of each task several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -26,20 +41,27 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(at, step)
 
 
-class Cache(dict):
-    """A dict that computes missing values and forgets all when it is full.
+_owner = None
 
-    ``limit`` bounds the entries and ``widest`` the length of a stored key.
+
+def claim(owner=None) -> None:
+    """Make ``owner`` the one holder of a word table in this worker process.
+
+    Workers outlive the stages of a job; the holder before drops its table
+    (``forget``) and the memory goes back, so that stages of different
+    operators don't add up. Operators without a table claim for nobody.
     """
+    global _owner
+    if _owner is not owner:
+        if _owner is not None:
+            _owner.forget()
+        _owner = owner
+        tidy()
+
 
-    def __init__(self, make: Callable, limit: int = 400_000, widest: int = 64):
-        super().__init__()
-        self.make, self.limit, self.widest = make, limit, widest
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= self.widest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
-        return value
+def tidy() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .scratch import lowest, staged
 from .words import WORD_RE, slices
 
 KINDS = ("assign", "access", "hex")
@@ -61,24 +62,35 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def shape(word: str) -> str:
-    """Classes of the characters, runs shortened to one."""
-    out = ""
-    for c in word[:80]:
-        k = "d" if c.isdigit() else "a" if c in "abcdef" else "x" if c.islower() else "X" if c.isupper() else c if c.isascii() else "u"
-        if not out or out[-1] != k:
-            out += k
-    return out[:12]
+class _Classes(dict):
+    """Classes of characters: digits d, a to f a, other lower case x, upper
+    case X, other ASCII itself, all else u."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = k = "d" if c.isdigit() else "a" if c in "abcdef" else "x" if c.islower() else "X" if c.isupper() else c if c.isascii() else "u"
+        return k
+
+
+CLASSES = _Classes()
+RUNS = re.compile(r"(.)\1+", re.S)
 
 
 def features(word: str) -> list[int]:
-    n, digits = len(word), sum(c.isdigit() for c in word)
-    names = [f"h={shape(word)}", f"n={min(n, 15) if n < 16 else 15 + min(n // 8, 8)}", f"d={min(digits, 3)},{n >= 16}", f"q={word[0]}{word[-1]}" if not word[0].isalnum() else "q=", "bias"]
+    """Shape, length, digits, the mark at either end, kinds of characters, and
+    the word itself if it is short and of letters only."""
+    n, classes = len(word), "".join(map(CLASSES.__getitem__, word[:80]))
+    digits = classes.count("d")
+    names = [
+        f"h={RUNS.sub(r'\1', classes)[:12]}",
+        f"n={n if n < 16 else 15 + min(n // 8, 8)}",
+        f"d={min(digits, 3)},{n >= 16}",
+        f"q={word[0]}{word[-1]}" if not word[0].isalnum() else "q=",
+        f"k={''.join(sorted(set(classes) & {'d', 'a', 'x', 'X', 'u'}))},{n >= 16},{n >= 24}",
+        "bias",
+    ]
     bare = word.strip("\"'=:,;.").lower()
     if len(bare) <= 12 and bare.isalpha():
         names.append(f"w={bare}")
-    kinds = {("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s") for c in word}
-    names.append(f"k={''.join(sorted(kinds))},{n >= 16},{n >= 24}")
     return crf.hashed(names)
 
 
@@ -132,9 +144,12 @@ def learn(docs: DataFrame) -> crf.Chain:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # the single runs are cheap to look for; assignments mostly hold one
-    marked = rows.withColumn("marked", F.col("text").rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}"))
-    picked = [marked.filter(on).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text") for on, n in zip((F.col("marked"), ~F.col("marked")), SAMPLE, strict=True)]
-    return train([r.text for p in picked for r in p.collect()])
+    marked = F.col("text").rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}").alias("marked")
+    narrow = staged(rows.select("doc_id", marked), "marked")
+    ids = [lowest(narrow.filter(on), "doc_id", n).select("doc_id") for on, n in zip((F.col("marked"), ~F.col("marked")), SAMPLE, strict=True)]
+    picked = staged(ids[0].unionAll(ids[1]).distinct(), "picked")  # at most sum(SAMPLE) rows
+    texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").limit(2 * sum(SAMPLE)).collect()
+    return train(sorted(r.text for r in texts))
 
 
 def chain_spans(words: list[re.Match], states: np.ndarray) -> list[tuple[int, int]]:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .scratch import lowest, staged
 from .words import WORD_RE, slices
 
 #: The classifier learns from at most so many documents of each label, those
@@ -151,9 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the bounded sample of labelled rows outside the held-out
     fold. Without rows of both labels it finds nothing toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    parts = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in SAMPLE.items()]
-    picked = parts[0].unionAll(parts[1])  # at most sum(SAMPLE) rows of two numbers: small enough to broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id").collect()
+    parts = [lowest(known.filter(F.col("toxic") == t), "doc_id", n) for t, n in SAMPLE.items()]
+    picked = staged(parts[0].unionAll(parts[1]), "picked")  # at most sum(SAMPLE) rows of two numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").limit(2 * sum(SAMPLE.values())).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.toxic))
     return train([r.text for r in rows], [bool(r.toxic) for r in rows])
 
 

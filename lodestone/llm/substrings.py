@@ -13,9 +13,9 @@ suffixes have the same token occurrence, and travel as one stretch of bytes.
 2. Within a slice of documents equal stretches are settled at once, so that a
    passage of very many documents travels once per slice.
 3. Sampled splitters range-partition the stretches by the leading bytes of
-   their token. Each bucket, sorted by token, expands into suffixes, which a
-   multikey sort brings together; a bucket is bounded by tokens, so suffixes
-   across boundaries always differ.
+   their token. Each bucket, sorted by the token's hash, expands into suffixes,
+   which a multikey sort brings together; a bucket is bounded by tokens, so
+   suffixes across boundaries always differ.
 4. The spans found come back to their documents by id.
 """
 
@@ -26,22 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
 from .jaccard import mixed
 from .scratch import staged
-from .words import slices
+from .words import claim, slices
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
-#: Texts that are worked on together; stretches that are equal among them travel once.
-SLICE = 8 << 20
+#: Texts that are worked on together, small enough for a processor's cache.
+SLICE = 1 << 20
+#: Tokens that so many stretches of a slice share are looked at for equal ones.
+SHARED = 4
 #: Bits of the filter of tokens, at most; ranges of it that tasks merge.
-FILTER_MOST, RANGES = 1 << 28, 64
+FILTER_MOST, RANGES = 1 << 29, 64
 #: Tokens of a task before it sends them on, and tokens sampled for splitters.
-HELD, SAMPLE = 1 << 22, 4096
+HELD, SAMPLE = 1 << 21, 4096
 #: Suffixes that a bucket expands and sorts at a time, unless one token has more.
 SORTED = 1 << 19
 
@@ -51,6 +54,7 @@ U = np.uint64
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, padded at the end; where each text begins, and the end)."""
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    claim()
     return np.frombuffer(b"".join(texts) + bytes(LENGTH + 16), np.uint8), starts
 
 
@@ -58,8 +62,12 @@ def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(text, token place, first and last suffix, token hash) of each stretch."""
     size = len(data) - 8
     word = np.ndarray((size,), "<u8", data, strides=(1,)).astype(np.uint64)
-    n = size - 8
-    hashes = mixed(mixed(word[:n]) ^ (word[8 : n + 8] * U(0x9E3779B97F4A7C15)))
+    n = size - GRAM + 8
+    hashes = word[:n] * U(0x9E3779B97F4A7C15)
+    for k, odd in zip(range(8, GRAM, 8), (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F), strict=False):
+        hashes += word[k : n + k] * U(odd)
+    hashes ^= hashes >> U(29)
+    hashes *= U(0x165667B19E3779F9)
     low = (hashes & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     reach = 1
     while 2 * reach <= SPREAD:
@@ -81,39 +89,49 @@ def stretches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group of each place in it) of rows of big-endian words.
+    """(order, group of each place in it) of rows of words.
 
-    Rows are sorted by their first word; only those that tie go on to the
-    next, within their tie.
+    Rows are sorted by a digest of their words, then, within a tie, by one word
+    after the other. A tie whose rows are all equal is done: most are, and only
+    the rest goes on to the next word.
     """
-    order = np.argsort(words[:, 0], kind="stable")
-    group = np.concatenate([[0], np.cumsum(words[order[1:], 0] != words[order[:-1], 0])])
+    digest = words[:, 0].copy()
     for k in range(1, words.shape[1]):
-        same = group[1:] == group[:-1]
-        tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        if not len(tied):
+        digest = digest * U(0x9E3779B97F4A7C15) + words[:, k]
+    order = np.argsort(digest, kind="stable")
+    ordered = digest[order]
+    group = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    for k in range(words.shape[1]):
+        a, b = order[1:], order[:-1]
+        tied = np.flatnonzero(group[1:] == group[:-1])
+        unlike = tied[(words[a[tied]] != words[b[tied]]).any(1)]
+        if not len(unlike):
             break
-        rows = order[tied]
-        by = np.lexsort((words[rows, k], group[tied]))
-        order[tied] = rows[by]
+        at = np.flatnonzero(np.isin(group, group[unlike]))
+        rows = order[at]
+        order[at] = rows[np.lexsort((words[rows, k], group[at]))]
         value = words[order, k]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (value[1:] != value[:-1]))])
+        split = np.concatenate([[False], (value[1:] != value[:-1]) & (group[1:] == group[:-1])])
+        group = group + np.cumsum(split)
     return order, group
 
 
 def suffix_words(pieces: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The LENGTH bytes from each of ``at``, as big-endian words, zero-padded."""
-    wide = -(-LENGTH // 8) * 8
-    rows = np.zeros((len(at), wide), np.uint8)
-    rows[:, :LENGTH] = pieces[at[:, None] + np.arange(LENGTH)]
-    return rows.view(">u8").astype(np.uint64)
-
-
-def repeated(doc: np.ndarray, first: np.ndarray, last: np.ndarray, stretch: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(row, first, last) of runs of suffixes that a smaller doc holds too."""
+    """The LENGTH bytes from each of ``at`` as words; ``pieces`` goes on for 8
+    bytes after the last."""
+    view = np.ndarray((len(pieces) - 7,), "<u8", pieces, strides=(1,))
+    out = np.empty((len(at), -(-LENGTH // 8)), np.uint64)
+    for k in range(out.shape[1]):
+        out[:, k] = view[at + 8 * k]
+    if LENGTH % 8:
+        out[:, -1] &= U((1 << 8 * (LENGTH % 8)) - 1)
+    return out
+
+
+def repeated(doc: np.ndarray, first: np.ndarray, last: np.ndarray, pieces: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of runs of suffixes that a smaller doc holds too;
+    row's stretch is at ``begin`` of ``pieces``, which has 8 bytes to spare."""
     counts = last - first + 1
-    pieces = np.frombuffer(b"".join(stretch), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(s) for s in stretch])[:-1]])
     row = np.repeat(np.arange(len(doc)), counts)
     inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     order, group = multikey(suffix_words(pieces, begin[row] + inner))
@@ -121,11 +139,10 @@ def repeated(doc: np.ndarray, first: np.ndarray, last: np.ndarray, stretch: list
     np.minimum.at(least, group, doc[row[order]])
     late = np.zeros(len(row), bool)
     late[order] = doc[row[order]] > least[group]
-    start = np.flatnonzero(late & ~(np.concatenate([[False], late[:-1]]) & np.concatenate([[False], row[1:] == row[:-1]])))
-    stop = np.flatnonzero(late & ~(np.concatenate([late[1:], [False]]) & np.concatenate([row[1:] == row[:-1], [False]])))
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        r = int(row[a])
-        yield r, int(first[r] + inner[a]), int(first[r] + inner[b])
+    goes_on = late[1:] & late[:-1] & (row[1:] == row[:-1])
+    start = np.flatnonzero(late & ~np.concatenate([[False], goes_on]))
+    stop = np.flatnonzero(late & ~np.concatenate([goes_on, [False]]))
+    return row[start], first[row[start]] + inner[start], first[row[start]] + inner[stop]
 
 
 def _raw(batch: pa.RecordBatch, at: int) -> list[bytes]:
@@ -133,14 +150,14 @@ def _raw(batch: pa.RecordBatch, at: int) -> list[bytes]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the SHA-256 of each row."""
+    """doc_id, n_bytes, the SHA-256 and the mark of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw = _raw(batch, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary())], ["doc_id", "n_bytes", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()), pa.array([mark(t) for t in raw], pa.int64())], ["doc_id", "n_bytes", "print", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, print binary")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, print binary, mark long")
 
 
 def token_filter(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +189,7 @@ def token_filter(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in slices(batches, SLICE):
             data, starts = joined(_raw(batch, 1))
             text, token, _, _, hashes = stretches(data, starts)
-            slots = hashes >> shift
+            slots = mixed(hashes) >> shift  # tokens are those of least hashes, which are crowded
             # one of each slot and text
             slots = np.unique(slots * U(len(starts)) + text.astype(np.uint64)) // U(len(starts)) if size < 1 << 40 else slots
             held.append(slots)
@@ -220,13 +237,39 @@ def token_filter(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return table, leads
 
 
-SPAN = "doc_id long, print binary, first long, last long, bucket int, token binary, stretch binary"
+SPAN = "doc_id long, mark long, first int, last int, bucket int, key long, stretch binary"
 SPAN_NAMES = [x.split()[0] for x in SPAN.split(", ")]
+RUN = "doc_id long, mark long, first int, last int"
+
+
+def mark(raw: bytes) -> int:
+    """Tells apart the texts of rows that repeat a doc_id."""
+    return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big", signed=True)
+
+
+def binaries(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The byte strings of ``sizes`` from ``at``, without a loop over them."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    inner = np.arange(int(ends[-1])) - np.repeat(ends[:-1], sizes)
+    values = data[np.repeat(at, sizes) + inner]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def equal_in_slice(data: np.ndarray, ids: np.ndarray, token: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether an equal stretch of a smaller doc is in the slice, for tokens
+    that at least SHARED stretches have."""
+    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+    settled, flat, seen = np.zeros(len(key), bool), data.tobytes(), {}
+    some = np.flatnonzero(counts[back] >= SHARED)
+    some = some[np.argsort(ids[some], kind="stable")]
+    for r, i, p, a, b in zip(some.tolist(), ids[some].tolist(), token[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+        settled[r] = seen.setdefault((flat[a : b + LENGTH], p - a), i) < i
+    return settled
 
 
 def filed(docs: DataFrame, table: np.ndarray, splitters: np.ndarray) -> DataFrame:
-    """Stretches under tokens that the filter passes; and, without a bucket,
-    those that an equal stretch of a smaller doc of the same slice settles."""
+    """Stretches under tokens that the filter passes. Those that an equal one
+    of a smaller doc of the same slice settles have no stretch with them."""
     spark = docs.sparkSession
     held, size = spark.sparkContext.broadcast((table, splitters)), len(table) * 8
     shift = U(64 - (size.bit_length() - 1))
@@ -234,69 +277,75 @@ def filed(docs: DataFrame, table: np.ndarray, splitters: np.ndarray) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, edges = held.value
         for batch in slices(batches, SLICE):
-            batch = batch.take(pa.compute.sort_indices(batch.column(0)))
-            ids, raw = batch.column(0).to_pylist(), _raw(batch, 1)
+            raw = _raw(batch, 1)
             data, starts = joined(raw)
             text, token, first, last, hashes = stretches(data, starts)
-            keep = bits.passed(own, (hashes >> shift).astype(np.int64))
-            text, token, first, last = text[keep], token[keep], first[keep], last[keep]
+            keep = bits.passed(own, (mixed(hashes) >> shift).astype(np.int64))
+            if not keep.any():
+                continue
+            text, token, first, last, key = text[keep], token[keep], first[keep], last[keep], hashes[keep].view(np.int64)
             lead = (np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[token].astype(np.uint64) ^ U(1 << 63)).view(np.int64)
-            bucket = np.searchsorted(edges, lead, "right")
-            flat, prints, seen, rows = data.tobytes(), batch.column(2).to_pylist(), {}, []
-            base = starts[text]
-            for t, p, a, b, k, z in zip(text.tolist(), token.tolist(), first.tolist(), last.tolist(), bucket.tolist(), base.tolist(), strict=True):
-                piece = flat[a : b + LENGTH]
-                key = (piece, p - a)
-                before = seen.setdefault(key, ids[t])
-                if before < ids[t]:
-                    rows.append((ids[t], prints[t], a - z, b - z, None, None, None))
-                else:
-                    rows.append((ids[t], prints[t], a - z, b - z, k, flat[p : p + GRAM], piece))
-            if rows:
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], SPAN_NAMES)
+            ids = batch.column(0).to_numpy()[text]
+            done = equal_in_slice(data, ids, token, first, last, key)
+            marks = np.array([mark(t) for t in raw], np.int64)[text]
+            bucket = np.searchsorted(edges, lead, "right").astype(np.int32)
+            base, sizes = starts[text], np.where(done, 0, last - first + LENGTH)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(marks), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(bucket), pa.array(key), binaries(data, first, sizes)], SPAN_NAMES
+            )
 
     return docs.mapInArrow(run, SPAN)
 
 
 def settled(rows: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, print and the first and last suffix of each run that a smaller
+    """doc_id, mark and the first and last suffix of each run that a smaller
     document holds too."""
-    dealt = rows.filter("bucket IS NOT NULL").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("token", "doc_id").select("doc_id", "print", "first", "last", "token", "stretch")
-
-    def found(group: list[tuple]) -> pa.RecordBatch | None:
-        ids, prints, first, last, _, stretch = zip(*group, strict=True)
-        out = [(ids[r], prints[r], a, b) for r, a, b in repeated(np.array(ids), np.array(first), np.array(last), list(stretch))]
-        if not out:
-            return None
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], SPAN_NAMES[:4])
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("key", "doc_id").select("key", "doc_id", "mark", "first", "last", "stretch")
+
+    def out(*columns) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in RUN.split(", ")])
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of rows of whole tokens, those of tokens that several docs have."""
+        key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+        keep = np.repeat(several, np.diff(np.concatenate([heads, [len(key)]])))
+        if not keep.any():
+            return
+        table = table.filter(pa.array(keep)).combine_chunks()
+        doc, marks, first, last = (table.column(c).to_numpy() for c in ("doc_id", "mark", "first", "last"))
+        stretch = table.column("stretch").combine_chunks()
+        stretch = stretch if isinstance(stretch, pa.Array) else stretch.chunk(0)
+        begin = np.frombuffer(stretch.buffers()[1], np.int32)[stretch.offset : stretch.offset + len(stretch) + 1].astype(np.int64)
+        pieces = np.concatenate([np.frombuffer(stretch.buffers()[2], np.uint8)[: begin[-1]], np.zeros(8, np.uint8)])
+        row, a, b = repeated(doc, first.astype(np.int64), last.astype(np.int64), pieces, begin[:-1])
+        if len(row):
+            yield out(doc[row], marks[row], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # rows of whole tokens
-        open_: list[tuple] = []  # of the token that may go on
+        held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_ and row[4] != open_[0][4]:
-                    if open_[0][0] != open_[-1][0]:  # a token of one document settles nothing
-                        ready += open_
-                        size += sum(r[3] - r[2] + 1 for r in open_)
-                        if size >= SORTED:
-                            part = found(ready)
-                            if part:
-                                yield part
-                            ready, size = [], 0
-                    open_ = []
-                open_.append(row)
-        if open_ and open_[0][0] != open_[-1][0]:
-            ready += open_
-        if ready:
-            part = found(ready)
-            if part:
-                yield part
-
-    return dealt.mapInArrow(run, "doc_id long, print binary, first long, last long")
+        for batch in slices(batches):
+            done = pc.binary_length(batch.column("stretch")).to_numpy() == 0
+            if done.any():
+                local = batch.filter(pa.array(done))
+                yield out(*(local.column(c) for c in ("doc_id", "mark", "first", "last")))
+                batch = batch.filter(pa.array(~done))
+                if not batch.num_rows:
+                    continue
+            key = batch.column("key").to_numpy()
+            open_ = int(np.searchsorted(key, key[-1]))  # rows of the last token may go on
+            size += int((batch.column("last").to_numpy() - batch.column("first").to_numpy() + 1).sum())
+            if size >= SORTED and (open_ or (held and held[-1].column("key")[-1].as_py() != key[0])):
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, open_)]))
+                held, batch, size = [], batch.slice(open_), 0
+            held.append(batch)
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, RUN)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -332,35 +381,34 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     # of equal texts, the smallest id stands for all; a few others may pass
     room = bits.sized(count)
-    chosen = spark.sparkContext.broadcast(bits.collected(classes.select(bits.slot(F.struct("least", "print"), room).alias("slot")), room))
+    chosen = spark.sparkContext.broadcast(bits.collected(classes.select(bits.slot(F.col("least"), room).alias("slot")), room))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            on = bits.passed(chosen.value, batch.column(3).to_numpy())
+            on = bits.passed(chosen.value, batch.column(2).to_numpy())
             if on.any():
-                yield batch.filter(pa.array(on)).select(["doc_id", "text", "print"])
+                yield batch.filter(pa.array(on)).select(["doc_id", "text"])
 
-    slotted = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).withColumn("print", F.unhex(F.sha2("text", 256)))
-    slotted = slotted.withColumn("slot", bits.slot(F.struct(F.col("doc_id").alias("least"), "print"), room))
-    once = slotted.mapInArrow(choose, "doc_id long, text string, print binary")
+    slotted = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).withColumn("slot", bits.slot(F.col("doc_id"), room))
+    once = slotted.mapInArrow(choose, "doc_id long, text string")
 
     table, leads = token_filter(once, min(FILTER_MOST, max(1 << 22, 1 << int(total * 16 // SPREAD).bit_length())))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = leads[np.linspace(0, len(leads), buckets + 1)[1:-1].astype(int)] if len(leads) else leads
-    stretched = staged(filed(once, table, splitters), "stretches")
-    local = stretched.filter("bucket IS NULL").select("doc_id", "print", "first", "last")
-    spans = local.unionByName(settled(stretched, buckets))
-    spans = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # fewer than bytes of the text
+    spans = settled(filed(once, table, splitters), buckets)
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # fewer than bytes of the text
     spans = staged(spans, "spans")
 
     # texts with spans meet them; all others are known already
-    with_spans = spark.sparkContext.broadcast(bits.collected(spans.select(bits.slot(F.struct(F.col("doc_id").alias("least"), "print"), room).alias("slot")), room))
+    with_spans = spark.sparkContext.broadcast(bits.collected(spans.select(bits.slot(F.col("doc_id"), room).alias("slot")), room))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            on = bits.passed(with_spans.value, batch.column(3).to_numpy())
+            on = bits.passed(with_spans.value, batch.column(2).to_numpy())
             if on.any():
-                yield batch.filter(pa.array(on)).select(["doc_id", "text", "print"])
+                some = batch.filter(pa.array(on)).select(["doc_id", "text"])
+                marks = pa.array([mark(t) for t in _raw(some, 1)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*some.columns, marks], ["doc_id", "text", "mark"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -369,11 +417,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 n, runs, left = cut(text, [(s["first"], s["last"] + LENGTH) for s in own])
                 out.append((n, runs, hashlib.sha256(left).hexdigest(), left))
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "print", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = slotted.mapInArrow(meet, "doc_id long, text string, print binary").dropDuplicates(["doc_id", "print"])
-    partly = texts.join(spans, ["doc_id", "print"]).select("doc_id", "print", "text", "spans").mapInArrow(remove, "doc_id long, print binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    found = rows.join(classes.select("print", "least"), "print", "left").join(partly, ["doc_id", "print"], "left")
+    texts = slotted.mapInArrow(meet, "doc_id long, text string, mark long")
+    partly = texts.join(spans, ["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(remove, "doc_id long, mark long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # a row that comes twice meets one of its results
+    partly = partly.groupBy("doc_id", "mark").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
+    found = rows.join(classes.select("print", "least"), "print", "left").join(partly, ["doc_id", "mark"], "left")
     copy = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
     return found.select(
         "doc_id",

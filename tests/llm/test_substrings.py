@@ -60,12 +60,20 @@ def test_small_tables(spark):
     assert substrings.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_multikey_sort_matches_bytes():
+def test_multikey_sort_brings_equal_rows_together():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 2, (300, 50)).astype(np.uint8)
     rows[:, :40] = rows[rng.integers(0, 5, 300), :40]
-    flat = rows.ravel()
-    order, group = substrings.multikey(substrings.suffix_words(flat, np.arange(300) * 50))
+    flat = np.concatenate([rows.ravel(), np.zeros(8, np.uint8)])
     texts = [bytes(r) for r in rows]
-    assert [texts[k] for k in order] == sorted(texts)
-    assert int(group[-1]) + 1 == len(set(texts))
+    words = substrings.suffix_words(flat, np.arange(300) * 50)
+    for given in (words, np.column_stack([np.zeros(300, np.uint64), words[:, ::-1]])):
+        order, group = substrings.multikey(given)
+        assert len({(g, texts[k]) for g, k in zip(group.tolist(), order.tolist(), strict=True)}) == len(set(texts)) == int(group[-1]) + 1
+
+
+def test_multikey_sort_survives_equal_digests(monkeypatch):
+    monkeypatch.setattr(substrings, "U", lambda x, f=np.uint64: f(0))
+    words = np.array([[1, 5], [2, 5], [1, 5], [3, 5]], np.uint64)
+    order, group = substrings.multikey(words)
+    assert [words[k, 0] for k in order] == [1, 1, 2, 3] and group.tolist() == [0, 0, 1, 2]

@@ -1,5 +1,5 @@
 import corpus_pipeline as pipeline
-from lodestone.llm import bits, langid, secrets
+from lodestone.llm import bits, langid, scratch, secrets
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,10 @@ def test_language_of_rows(spark, sf_dir):
     assert [r.doc_id for r in langid.kept(odd, model, 0.0).collect()] == [4]
     none = langid.learn(odd.withColumn("lang", F.lit(None).cast("string")))
     assert langid.identify(odd, none).first().lang_pred == "und"
+
+
+def test_lowest_is_the_same_with_and_without_a_share(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    assert sorted(r.doc_id for r in scratch.lowest(rows, "doc_id", 40).collect()) == sorted(want)
+    assert scratch.lowest(rows.limit(3), "doc_id", 40).count() == 3

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import SPARE, below, staged
+from .scratch import SPARE, below, drawn, staged
 from .words import claim, slices
 
 ORDERS = (1, 2, 3)
@@ -209,7 +209,7 @@ def learn(docs: DataFrame) -> Model:
     sizes = staged(named.groupBy("lang").agg(F.count("*").alias("of")), "language-sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     some = named.join(sizes, "lang").filter(below("doc_id", F.lit(SPARE * PER_LANGUAGE) / F.col("of")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(drawn("doc_id"), "doc_id"))
     picked = some.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
     picked = staged(picked.orderBy("place", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct(), "picked")
     sample = rows.join(F.broadcast(picked), "doc_id").limit(2 * SAMPLE).collect()

@@ -43,9 +43,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 SHARES, SPARE = 1 << 30, 4
 
 
+def drawn(key: str) -> Column:
+    """The hash of a row's key that a sample goes by."""
+    return F.pmod(F.xxhash64(key), F.lit(SHARES))
+
+
 def below(key: str, share: Column) -> Column:
-    """Whether the hash of a row's key lies within a share of all hashes."""
-    return F.pmod(F.xxhash64(key), F.lit(SHARES)) < F.least(share, F.lit(1.0)) * SHARES
+    """Whether that hash lies within a share of all hashes."""
+    return drawn(key) < F.least(share, F.lit(1.0)) * SHARES
 
 
 def lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -54,4 +59,4 @@ def lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
     the final ordering does not grow with their number."""
     total = rows.count()
     some = rows.filter(below(key, F.lit(SPARE * n / max(1, total)))) if total > SPARE * n else rows
-    return some.orderBy(F.xxhash64(key), key).limit(n)
+    return some.orderBy(drawn(key), key).limit(n)

@@ -16,11 +16,15 @@ from itertools import islice
 
 import numpy as np
 
+from .words import claim
+
 BLOCK = 32
 #: Hashed features; the last row stands for no feature and stays zero.
 FEATURES = 1 << 15
+#: Features of a word at most.
+WIDEST = 8
 #: Words that an executor's table holds before it starts anew.
-TABLE = 500_000
+TABLE = 400_000
 
 
 def hashed(names: Sequence[str]) -> list[int]:
@@ -99,30 +103,38 @@ class Chain:
         self.notes = np.zeros((max(1, notes), states), np.float32)
         self.move = np.zeros((states, states), np.float32)
         self.first = np.zeros(states, np.float32)
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.index = Index()
         self.table = np.zeros((1, 3 * self.states), np.float32)
 
     def __getstate__(self):
         return self.__dict__ | {"index": Index(), "table": np.zeros((1, 3 * self.states), np.float32)}
 
-    def _row(self, word: str) -> np.ndarray:
-        return self.words[:, self.features(word)].sum(1).ravel()
+    def _rows(self, words: list[str]) -> np.ndarray:
+        wide = np.full((len(words), WIDEST), FEATURES)
+        for i, w in enumerate(words):
+            own = self.features(w)
+            wide[i, : len(own)] = own
+        out = np.zeros((3, len(words), self.states), np.float32)
+        for k in range(WIDEST):
+            out += self.words[:, wide[:, k]]
+        return out.transpose(1, 0, 2).reshape(len(words), -1)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Rows of the table, which grows by the words not seen before."""
         ids = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         if len(self.index) > len(self.table):
             new = list(islice(self.index, len(self.table), None))
-            self.table = np.concatenate([self.table, np.array([self._row(w) for w in new], np.float32)])
+            self.table = np.concatenate([self.table, self._rows(new)])
         return ids
 
     def blocks(self, texts: list[list[str]], notes: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(emissions, real, number of blocks of each text) of tokenised texts."""
+        claim(self)
         if len(self.index) > TABLE:
-            self._clear()
+            self.forget()
         sizes = np.array([len(x) for x in texts])
         counts = -(-sizes // BLOCK)
         flat = np.zeros(int(counts.sum()) * BLOCK + 2, np.int32)  # a blank word before and after

@@ -195,7 +195,10 @@ def token_filter(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             held.append(slots)
             total += len(slots)
             lead = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[token].astype(np.uint64)
-            both = np.concatenate([sample, np.stack([mixed(hashes), lead], 1)])
+            # drawn by occurrence, so that a frequent token weighs as much as it has
+            ids = batch.column(0).to_numpy().astype(np.uint64)
+            draw = mixed(hashes + ids[text] * U(0x9E3779B97F4A7C15) + token.astype(np.uint64))
+            both = np.concatenate([sample, np.stack([draw, lead], 1)])
             sample = both[np.argsort(both[:, 0])[:SAMPLE]] if len(both) > SAMPLE else both
             if total >= HELD:
                 yield sent()

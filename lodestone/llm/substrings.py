@@ -291,7 +291,8 @@ def filed(docs: DataFrame, table: np.ndarray, splitters: np.ndarray) -> DataFram
             ids = batch.column(0).to_numpy()[text]
             done = equal_in_slice(data, ids, token, first, last, key)
             marks = np.array([mark(t) for t in raw], np.int64)[text]
-            bucket = np.searchsorted(edges, lead, "right").astype(np.int32)
+            # what is settled goes anywhere, so that a passage of very many documents fills no bucket
+            bucket = np.where(done, ids % (len(edges) + 1), np.searchsorted(edges, lead, "right")).astype(np.int32)
             base, sizes = starts[text], np.where(done, 0, last - first + LENGTH)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(marks), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(bucket), pa.array(key), binaries(data, first, sizes)], SPAN_NAMES

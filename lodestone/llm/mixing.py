@@ -74,7 +74,6 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tu
     cut alike. An empty table gives no rows; further columns of any name stay
     inside ``doc``. The same input gives the same mix on every run.
     """
-    spark = docs.sparkSession
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(doc.alias("doc")).select(
         "doc",

@@ -11,7 +11,6 @@ summaries of them, calibrated on the labelled documents, the document's score.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 

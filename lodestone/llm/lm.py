@@ -28,8 +28,9 @@ from .words import slices
 BITS, WIDTH, CLASSES, SINGLE = 13, 16, 128, 96
 SIDES = (-2, -1, 1, 2)
 REACH = 2
-#: Rounds of training, and one masked position in so many is trained on.
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 2048, 0.15
+#: Rounds of training, and one masked position in so many is trained on in a
+#: round: with 1, every word of every text in every round.
+ROUNDS, STRIDE, BATCH, RATE = 2, 1, 2048, 0.15
 #: Pieces in which weights are averaged.
 PIECES = 16
 CHUNK = 1 << 15
@@ -99,25 +100,31 @@ class Network:
         for at in range(0, len(places), BATCH):
             p = places[at : at + BATCH]
             around = [flat[p + s] for s in SIDES]
-            x = [w["embed"][a] for a in around]
+            x = [w["embed"].take(a, 0) for a in around]
             h = np.tanh(sum(v @ m for v, m in zip(x, w["project"], strict=True)) + w["shift"])
-            miss = h @ w["out"] + w["bias"]
-            miss = np.exp(miss - miss.max(1, keepdims=True))
+            miss = h @ w["out"]
+            miss += w["bias"]
+            miss -= miss.max(1, keepdims=True)
+            np.exp(miss, out=miss)
             miss /= miss.sum(1, keepdims=True)
             miss[np.arange(len(p)), self.of[flat[p]]] -= 1
             back = (miss @ w["out"].T) * (1 - h * h)
-            embed = np.zeros(_COUNT * WIDTH)
-            project = np.empty_like(w["project"])
-            for k, (a, v) in enumerate(zip(around, x, strict=True)):
-                project[k] = v.T @ back
-                step = back @ w["project"][k].T
-                embed += np.bincount((a[:, None] * WIDTH + np.arange(WIDTH)).ravel(), step.ravel(), _COUNT * WIDTH)
-            grads = {"embed": embed.reshape(_COUNT, WIDTH).astype(np.float32), "project": project, "shift": back.sum(0), "out": h.T @ miss, "bias": miss.sum(0)}
-            grads["embed"][0] = 0
+            # of the embeddings only the rows around have a gradient, summed in their order
+            every = np.concatenate(around)
+            order = np.argsort(every.astype(np.uint16), kind="stable")
+            ordered = every[order]
+            last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+            rows = ordered[last]
+            steps = np.concatenate([m @ back.T for m in w["project"]], 1).take(order, 1)
+            embed = np.diff(np.cumsum(steps, 1, float)[:, last], axis=1, prepend=0).T.astype(np.float32, order="C")
+            embed[rows == 0] = 0
+            project = np.stack([v.T @ back for v in x])
+            grads = {"embed": embed, "project": project, "shift": back.sum(0), "out": h.T @ miss, "bias": miss.sum(0)}
             for k, g in grads.items():
+                on = rows if k == "embed" else slice(None)
                 g = g / len(p)
-                squares[k] += g * g
-                w[k] -= RATE * g / (np.sqrt(squares[k]) + 1e-6)
+                squares[k][on] += g * g
+                w[k][on] -= RATE * g / (np.sqrt(squares[k][on]) + 1e-6)
 
     def score(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Log probability of the word at each of ``places`` given both sides."""
@@ -161,7 +168,12 @@ def count(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def averaged(docs: DataFrame, net: Network, stride: int) -> Network:
+def targets(places: np.ndarray, stride: int, shift: int) -> np.ndarray:
+    """The places that are masked; ``stride`` shifts in a row take all of them."""
+    return places[shift % stride :: stride]
+
+
+def averaged(docs: DataFrame, net: Network, stride: int, turn: int = 0) -> Network:
     """One round: each task trains on its documents, weights are averaged by
     the number of positions that they were trained on."""
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -170,10 +182,10 @@ def averaged(docs: DataFrame, net: Network, stride: int) -> Network:
         own = held.value.with_flat(held.value.flat())
         squares = {k: np.full(s, 1e-4, np.float32) for k, s in _SHAPES.items()}
         trained = 0
-        for batch in slices(batches):
+        for k, batch in enumerate(slices(batches)):
             flat, places = padded(*buckets(_read(batch)))
             # neighbours of one text must not fill a minibatch
-            mine = np.random.default_rng(len(places)).permutation(places[trained % stride :: stride])
+            mine = np.random.default_rng(len(places)).permutation(targets(places, stride, k + turn))
             own.train(flat, mine, squares)
             trained += len(mine)
         if trained:
@@ -196,10 +208,11 @@ def averaged(docs: DataFrame, net: Network, stride: int) -> Network:
 
 
 def learn(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """A network that all texts have trained. Null and empty texts teach nothing."""
+    """A network that every word of all texts has trained, if ``rounds`` are at
+    least ``stride``. Null and empty texts teach nothing."""
     net = Network.fresh(count(docs))
-    for _ in range(rounds):
-        net = averaged(docs, net, stride)
+    for turn in range(rounds):
+        net = averaged(docs, net, stride, turn)
     return net
 
 

@@ -37,3 +37,16 @@ def test_rows(spark, net):
 def test_learning_from_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(none, lm.learn(none)).collect() == []
+
+
+def test_query_trains_on_every_word(spark, sf_dir):
+    """With the parameters of the query, each place is a target and the model beats frequency."""
+    places = np.arange(1000)
+    assert set(np.concatenate([lm.targets(places, lm.STRIDE, k) for k in range(lm.ROUNDS)])) == set(places)
+    assert set(np.concatenate([lm.targets(places, 5, k) for k in range(5)])) == set(places)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text for r in docs.select("text").collect()]
+    flat, places = lm.padded(*lm.buckets(texts))
+    counts = np.bincount(flat[places], minlength=1 << lm.BITS)
+    alone = np.log((counts + 0.5) / (counts + 0.5).sum())[flat[places]]
+    assert lm.learn(docs).score(flat, places).mean() > alone.mean() + 0.05

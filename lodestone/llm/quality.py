@@ -22,8 +22,9 @@ from .words import WORD_RE, claim, slices
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 WINDOW = 3
 #: A repeat has so many words at least; repeats may cover this share of a text,
-#: and the longest may have so many words.
-LEAST, COVERED, LONGEST = 8, 0.45, 400
+#: and the longest may have so many words. Of the 3243 good labelled texts of
+#: sf0.1 that pass the base rules none has more than 28.2 % or 13 words.
+LEAST, COVERED, LONGEST = 8, 0.3, 50
 #: The base rules: fewer words fail, and more than this percentage of words in
 #: repeated windows.
 FEWEST, REPEATED = 50, 50

@@ -47,3 +47,20 @@ def test_judge_rows(spark, sf_dir):
     want = {r.doc_id: brute(r.text or "") for r in docs.union(odd).collect() if len(r.text or "") < 6000}
     assert {k: got[k] for k in want} == want
     assert quality.judge(docs.limit(0)).collect() == []
+
+
+def test_repeats_that_only_the_method_rejects():
+    """Texts that pass the base rules, but repeat a passage."""
+
+    def text(passage, times, words):
+        own, parts = [f"p{k}" for k in range(passage)], []
+        for k in range(times):
+            parts += own + [f"u{k}_{j}" for j in range((words - times * passage) // times)]
+        return " ".join(parts)
+
+    failed, kept = [quality.COLUMNS.split(", ").index(f"{c} boolean") for c in ("base_failed", "kept")]
+    for given in ((200, 2, 1000), (390, 3, 3000), (60, 2, 2000), (12, 20, 700)):
+        row = quality.measure([text(*given)])[0]
+        assert not row[failed] and not row[kept], given
+    row = quality.measure([text(12, 2, 700)])[0]  # a line that comes twice is no reason
+    assert not row[failed] and row[kept]

@@ -73,15 +73,18 @@ class _Classes(dict):
 
 CLASSES = _Classes()
 RUNS = re.compile(r"(.)\1+", re.S)
+SOLID = re.compile("[daxXu]+")
 
 
 def features(word: str) -> list[int]:
     """Shape, length, digits, the mark at either end, kinds of characters, and
-    the word itself if it is short and of letters only."""
-    n, classes = len(word), "".join(map(CLASSES.__getitem__, word[:80]))
-    digits = classes.count("d")
+    the word itself if it is short and of letters only; of a word whose shape is
+    long, also the end of the shape and the length and kinds of its longest run
+    of letters and digits. All of them are taken from the whole word."""
+    n, classes = len(word), "".join(map(CLASSES.__getitem__, word))
+    digits, shape = classes.count("d"), RUNS.sub(r"\1", classes)
     names = [
-        f"h={RUNS.sub(r'\1', classes)[:12]}",
+        f"h={shape[:12]}",
         f"n={n if n < 16 else 15 + min(n // 8, 8)}",
         f"d={min(digits, 3)},{n >= 16}",
         f"q={word[0]}{word[-1]}" if not word[0].isalnum() else "q=",
@@ -91,6 +94,9 @@ def features(word: str) -> list[int]:
     bare = word.strip("\"'=:,;.").lower()
     if len(bare) <= 12 and bare.isalpha():
         names.append(f"w={bare}")
+    elif len(shape) > 12:
+        run = max(SOLID.findall(classes), key=len, default="")
+        names += [f"e={shape[-12:]}", f"t={min(len(run) // 8, 8)},{''.join(sorted(set(run)))}"]
     return crf.hashed(names)
 
 

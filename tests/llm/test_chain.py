@@ -87,3 +87,13 @@ def test_toxicity(spark, sf_dir):
     assert [(r.predicted, r.spans) for r in toxicity.score(odd, model).collect()] == [(0, "")] * 3
     none = toxicity.learn(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs.limit(5), none).collect()} == {0}
+
+
+def test_features_see_the_whole_word():
+    """What begins after many characters counts, wherever it stands."""
+    for before in (100, 500):
+        plain, held = '{"a":"b",' * before, '{"a":"b",' * before + '"k":"Zq7Rw9Kp2Lm4Xt6Vb8Nc1Yd3",' + '"a":"b",' * before
+        assert set(secrets.features(held[:-1])) - set(secrets.features((plain + '"a":"b",' * (before + 4))[: len(held) - 1]))
+        kinds = secrets.features("x-" * before + "A1b2C3d4")
+        assert kinds[2] != secrets.features("x-" * before + "ABCDabcd")[2]
+    assert max(len(secrets.features(w)) for w in ("token", '"a":1,' * 30, "x" * 200)) <= crf.WIDEST

@@ -168,11 +168,30 @@ def chain_spans(words: list[re.Match], states: np.ndarray) -> list[tuple[int, in
     return [(a, b) for a, b, _ in out]
 
 
+def beside(text: str, span: tuple[int, int], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside of the spans ``taken``, without white space
+    at their ends; parts without a letter or digit are no secrets."""
+    (at, end), parts = span, []
+    for a, b in sorted(t for t in taken if t[0] < end and span[0] < t[1]):
+        if a > at:
+            parts.append((at, a))
+        at = max(at, b)
+    if at < end:
+        parts.append((at, end))
+    out = []
+    for a, b in parts:
+        words = list(WORD_RE.finditer(text, a, b))
+        if any(c.isalnum() for c in text[a:b]):
+            out.append((words[0].start(), words[-1].end()))
+    return out
+
+
 def scan(docs: DataFrame, chain: crf.Chain) -> DataFrame:
     """doc_id and spans (array of start, end, kind) of every row, code points,
     end exclusive, by start, then kind. Null counts as the empty text, which
-    has no spans; spans that only the chain finds have the kind 'chain' and
-    overlap none of the patterns'. Other columns are not read."""
+    has no spans; what only the chain finds has the kind 'chain' and overlaps
+    none of the patterns' spans, which are taken out of a chain's span. Other
+    columns are not read."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +208,7 @@ def scan(docs: DataFrame, chain: crf.Chain) -> DataFrame:
                 if states.any():
                     taken = [(a, b) for a, b, _ in spans]
                     more = chain_spans(list(WORD_RE.finditer(text)), states)
-                    spans = ordered(spans + [(a, b, "chain") for a, b in more if not any(a < d and c < b for c, d in taken)])
+                    spans = ordered(spans + [(a, b, "chain") for m in more for a, b in beside(text, m, taken)])
                 out.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])

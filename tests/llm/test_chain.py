@@ -97,3 +97,26 @@ def test_features_see_the_whole_word():
         kinds = secrets.features("x-" * before + "A1b2C3d4")
         assert kinds[2] != secrets.features("x-" * before + "ABCDabcd")[2]
     assert max(len(secrets.features(w)) for w in ("token", '"a":1,' * 30, "x" * 200)) <= crf.WIDEST
+
+
+class _All(crf.Chain):
+    """Tags each text as one run."""
+
+    def blocks(self, texts, notes=None):
+        emit, real, counts = super().blocks(texts, notes)
+        emit[:, :, secrets.OUTSIDE] = -50
+        emit[:, 1:, secrets.BEGIN] = -50
+        return emit, real, counts
+
+
+def test_what_patterns_leave_of_a_chain_span(spark):
+    text = "key AKIA" + "Z" * 20 + " Qw9-Er7 \"" + "0123456789abcdef" + "\" Ty5"
+    a, h = text.index("AKIA"), text.index("0123")
+    assert secrets.beside(text, (0, len(text)), [(a, a + 24), (h, h + 16)]) == [(0, 3), (a + 25, h), (h + 16, len(text))]
+    assert secrets.beside(text, (h - 1, h + 17), [(h, h + 16)]) == []  # only its quotes are left
+    assert secrets.beside(text, (0, 3), []) == [(0, 3)]
+    assert secrets.beside(text, (a, a + 24), [(a, a + 24), (a, a + 30)]) == []
+    spark.sparkContext.addPyFile(__file__)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [tuple(s) for s in secrets.scan(docs, _All(3, secrets.features, 4)).first().spans]
+    assert [s for s in spans if s[2] == "chain"] == [(0, 3, "chain"), (a + 25, h, "chain"), (h + 16, len(text), "chain")]

@@ -33,7 +33,9 @@ def log(spark, sf_dir):
 
 
 def streamed(spark, sf_dir):
-    """The same totals from a stream over the conversations' files."""
+    """Calls and output tokens from a stream over the conversations' files, as
+    its SQL has them: no input tokens, errors count. ``streamed_log`` has the
+    totals of the log."""
     schema = chat(spark, sf_dir).schema
     # a file source takes folders and patterns
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")
@@ -41,6 +43,16 @@ def streamed(spark, sf_dir):
     return S.drained(spark, S.totals(calls), f"usage_{uuid.uuid4().hex}")
 
 
+def streamed_log(spark, sf_dir):
+    """The totals of usage_by_model from a stream over the log, which is
+    written first: input tokens come from windows that streams do not have."""
+    from ..llm.scratch import staged
+
+    rows = staged(log(spark, sf_dir), "log")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    return S.drained(spark, U.by_model(stream), f"usage_{uuid.uuid4().hex}")
+
+
 QUERIES = {
     "chunk_fixed": lambda s, d: C.chunked(docs(s, d)),
     "chunk_fixed_summary": lambda s, d: C.summary(C.chunked(docs(s, d)).withColumn("strategy", F.lit("fixed"))),
@@ -60,6 +72,7 @@ QUERIES = {
     "usage_recent": lambda s, d: U.recent(log(s, d), 20).select("request_id", "model", "output_tokens", "stop_reason"),
     "usage_capped": lambda s, d: U.retained(log(s, d), 50).select("request_id", "model"),
     "stream_usage_summary": streamed,
+    "stream_usage_by_model": streamed_log,
     "stream_event_windows": lambda s, d: S.windowed(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value"),
 }
 

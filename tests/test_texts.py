@@ -309,3 +309,12 @@ def test_storage(spark):
     left, gone = storage.deleted(rows, F.col("name") == "a")
     assert [r.id for r in left.collect()] == [7] and gone.first().deleted == 1
     assert storage.by_id(rows, 3).count() == 1 and storage.by_id(rows, 4).count() == 0
+
+
+def test_stream_of_the_log_has_the_totals_of_the_table(spark, sf_dir):
+    from lodestone.plans import texts
+
+    want, got = ({r.model: r.asDict() for r in texts.QUERIES[q](spark, sf_dir).collect()} for q in ("usage_by_model", "stream_usage_by_model"))
+    assert want.keys() == got.keys() and sum(r["input_tokens"] for r in got.values()) > 0
+    for model, row in want.items():
+        assert got[model] == {**row, "total_cost": pytest.approx(row["total_cost"], abs=2e-6)}

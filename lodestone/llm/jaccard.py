@@ -1,7 +1,8 @@
 """Similarity join of shingle sets by Jaccard, and its components.
 
-Every link between different sets is found, though not every linked pair is
-listed. Answers are shared first: equal sets are one, and sets that agree on a
+The components are those of all links, but not every link is found: pairs
+inside a component that is known already are not compared, and no list or
+number of links comes out. Answers are shared first: equal sets are one, and sets that agree on a
 band of minimum hashes are compared with the smallest of them only; what is
 linked then is one component, whose inner pairs need no further answer. The
 rest comes from an index over set prefixes: two sets that reach the threshold

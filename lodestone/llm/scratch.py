@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """The same with a file for each of ``buckets`` hash buckets of ``key``, so
+    that joins on it move the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{table}"
+    df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).option("path", path).option("compression", "none").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that nothing reads any more."""
+    for frame in frames:
+        path = _PATHS.pop(frame, None)
+        if path:
+            spark = frame.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 #: Resolution of hash shares, and how many times the wanted rows first pass.

@@ -60,20 +60,44 @@ def test_small_tables(spark):
     assert substrings.deduplicated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_multikey_sort_brings_equal_rows_together():
+def test_hot_tokens_are_settled_one_by_one(spark, monkeypatch):
+    """A head that all documents share, with other bytes after it in each."""
+    rng = np.random.default_rng(4)
+    head = "all rights are reserved by their holders "
+    rows = [(i, head * 2 + " ".join(f"w{k}" for k in rng.integers(0, 60, 40))) for i in range(80)]
+    monkeypatch.setattr(substrings, "HOT", 3)
+    check(spark, rows)
+
+
+def test_long_texts_go_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 3000, 3000))
+    rows = [(1, long), (2, "x" + long[3000:9000] + "y"), (3, long[:7000]), (3, long), (3, long)]
+    monkeypatch.setattr(substrings, "BLOCK", 500)
+    monkeypatch.setattr(substrings, "SLICE", 4000)
+    check(spark, rows)
+
+
+def test_multikey_sort_is_the_order_of_the_strings():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 2, (300, 50)).astype(np.uint8)
     rows[:, :40] = rows[rng.integers(0, 5, 300), :40]
-    flat = np.concatenate([rows.ravel(), np.zeros(8, np.uint8)])
+    rows[::7, 20:] = 255
     texts = [bytes(r) for r in rows]
-    words = substrings.suffix_words(flat, np.arange(300) * 50)
-    for given in (words, np.column_stack([np.zeros(300, np.uint64), words[:, ::-1]])):
-        order, group = substrings.multikey(given)
-        assert len({(g, texts[k]) for g, k in zip(group.tolist(), order.tolist(), strict=True)}) == len(set(texts)) == int(group[-1]) + 1
+    flat = np.concatenate([rows.ravel(), np.zeros(8, np.uint8)])
+    order, group = substrings.multikey(substrings.suffix_words(flat, np.arange(300) * 50))
+    assert [texts[k] for k in order] == sorted(texts)
+    assert len({(g, texts[k]) for g, k in zip(group.tolist(), order.tolist(), strict=True)}) == len(set(texts)) == int(group[-1]) + 1
+
+
+def test_blocks_cover_every_suffix_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)).encode() for n in (400, 3, 0, 15, 90)]
+    data, starts = substrings.joined(texts)
 
+    def tokens():
+        return sorted((int(s), int(t), int(own)) for own, t, a, b, _ in zip(*substrings.stretches(data, starts), strict=True) for s in range(a, b + 1))
 
-def test_multikey_sort_survives_equal_digests(monkeypatch):
-    monkeypatch.setattr(substrings, "U", lambda x, f=np.uint64: f(0))
-    words = np.array([[1, 5], [2, 5], [1, 5], [3, 5]], np.uint64)
-    order, group = substrings.multikey(words)
-    assert [words[k, 0] for k in order] == [1, 1, 2, 3] and group.tolist() == [0, 0, 1, 2]
+    whole = tokens()
+    monkeypatch.setattr(substrings, "BLOCK", 97)
+    assert tokens() == whole and len(whole) == sum(max(0, len(t) - 49) for t in texts)

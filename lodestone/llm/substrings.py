@@ -49,8 +49,8 @@ SLICE, BLOCK = 4 << 20, 1 << 20
 RANGE_TOKENS, RANGES = 1 << 21, 64
 #: Unlike stretches from which a token is hot.
 HOT = 1 << 14
-#: Tokens sampled for splitters, about.
-SAMPLE = 1 << 14
+#: Tokens sampled for splitters, about, and groups that they travel in.
+SAMPLE, SPREAD_SAMPLE = 1 << 14, 1021
 #: Suffixes that a bucket expands and sorts at a time, unless one token has
 #: more; one that is not hot has fewer than HOT * SPREAD.
 SORTED = 1 << 19
@@ -295,7 +295,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def messages(table: DataFrame, scale: Scale) -> DataFrame:
     """Of each slice and range: the sorted slots of its tokens, which of them
     several of its documents have, and how many unlike stretches more than one;
-    and, with range -1, a sample of tokens."""
+    and, with negative ranges, a sample of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, _ in opened(batches):
@@ -320,7 +320,7 @@ def messages(table: DataFrame, scale: Scale) -> DataFrame:
             # drawn by occurrence, so that a frequent token weighs as much as it has
             draw = mixed(own.hashes + own.doc.astype(np.uint64) * ODD + (own.token - own.starts[own.text]).astype(np.uint64))
             for t in own.token[(draw >> U(11)).astype(float) / (1 << 53) < scale.share].tolist():
-                rows.append((-1, own.number, 0, None, None, None, own.data[t : t + GRAM].tobytes()))
+                rows.append((-1 - own.number % SPREAD_SAMPLE, own.number, 0, None, None, None, own.data[t : t + GRAM].tobytes()))
             yield _batch(rows, MESSAGE)
 
     return table.mapInArrow(run, MESSAGE)

@@ -40,27 +40,38 @@ def _tag(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def prefixed(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over all rows before in the
+    order: sums of range partitions first, then those inside each."""
+    dealt = staged(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    parts = dealt.groupBy("range").agg(*[F.sum(v).alias(f"sum_{k}") for k, v in sums.items()])
+    parts = parts.select("range", *[F.coalesce(F.sum(f"sum_{k}").over(upto), F.lit(0)).alias(f"from_{k}") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(parts), "range").select(*rows.columns, *[(F.col(f"from_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in sums.items()])
+
+
 def targets(sized: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
     """One row per source: its size and its target.
 
     Water-filling in closed form: in order of size per weight, a source stops
     at ``epochs`` times its size as long as the level that is left for it and
     all later ones would exceed that; the others share the rest by weight.
+    Sources may be many: places and sums come from range partitions.
     """
     sources = sized.groupBy("tag").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("weight", weight.cast("long"))
-    everything = Window.partitionBy(F.lit(0))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) * share - epochs * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
+    placed = prefixed(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, "mix-places")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = placed.withColumn("weight", weight.cast("long"))
+    order = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    ranked = staged(prefixed(ranked, order, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, "mix-order"), "mix-sums")
+    size, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(size) * share - epochs * F.col("size_before")) / (F.lit(weight) - F.col("weight_before"))
     filled = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") < epochs * F.col("source_size"))
     # the first free source's level holds for all free ones
-    open_level = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.least(F.coalesce(open_level * F.col("weight"), F.lit(float("inf"))), (epochs * F.col("source_size")).cast("double"))
+    first = filled.filter("free").agg(F.min(F.struct("size_before", "weight_before", "level"))).first()[0]
+    open_level = F.lit(float("inf") if first is None else first.level)
+    target = F.least(open_level * F.col("weight"), (epochs * F.col("source_size")).cast("double"))
     return filled.select("tag", "source", "source_size", target.alias("target"))
 
 
@@ -69,48 +80,63 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tu
     ``target`` and ``taken`` for each row of ``docs`` (doc_id, text, source).
 
     Null text counts no words and takes none; a null source is a source of its
-    own, ordered last; a null doc_id keeps the key of the empty string. Equal
-    rows share one place in the order, so copies of the row at the cut are all
-    cut alike. An empty table gives no rows; further columns of any name stay
-    inside ``doc``. The same input gives the same mix on every run.
+    own, ordered last; a null doc_id keeps the key of the empty string. Copies
+    of a row stand next to each other in the order and are taken one by one, so
+    that a cut among them leaves the first ones whole. An empty table gives no
+    rows; a very long text may be cut as any other; further columns of any name
+    stay inside ``doc``. The same input gives the same mix on every run.
     """
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(doc.alias("doc")).select(
-        "doc",
-        _tag(F.col("doc.source")).alias("tag"),
-        word_count(F.col("doc.text")).alias("size"),
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    place = F.struct(
         _key(F.col("doc.doc_id"), seed).alias("key"),
+        F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
+        F.col("size"),
+        # rows that are alike so far, by the rest of them
+        F.xxhash64(F.col("doc.text"), F.to_json(F.struct(*[F.col(f"doc.`{c}`") for c in others])) if others else F.lit("")).alias("rest"),
     )
-    narrow = staged(keyed.select("tag", F.col("doc.source").alias("source"), F.col("doc.doc_id").cast("long").alias("id"), "size", "key"), "mix")
+    keyed = docs.select(doc.alias("doc")).select("doc", _tag(F.col("doc.source")).alias("tag"), word_count(F.col("doc.text")).alias("size")).withColumn("place", place)
+    narrow = staged(keyed.select("tag", F.col("doc.source").alias("source"), "size", "place"), "mix")
     plan = staged(targets(narrow, share, epochs, weights), "mix-targets")
     small = plan.count() <= BROADCAST_SOURCES
     side = F.broadcast if small else (lambda x: x)
 
     budget = F.least(F.floor("target"), epochs * F.col("source_size")).cast("long")
     plan = plan.withColumn("budget", budget).withColumn("whole", F.expr("CASE WHEN source_size > 0 THEN budget div source_size ELSE 0L END"))
-    plan = plan.withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn("left", F.col("budget") - F.col("whole") * F.col("source_size"))
 
     # prefix sums over key ranges, then inside the range that holds the cut
-    ranges = narrow.groupBy("tag", F.substring("key", 1, DIGITS).alias("range")).agg(F.sum("size").alias("words"))
+    ranges = narrow.groupBy("tag", F.substring("place.key", 1, DIGITS).alias("range")).agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("tag").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranges.withColumn("upto", F.sum("words").over(upto)).join(side(plan.select("tag", "rest")), "tag")
-    cut = sums.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-    cut = cut.select("tag", "range", (F.col("upto") - F.col("words")).alias("offset"), "rest")
-    inside = narrow.withColumn("range", F.substring("key", 1, DIGITS)).join(side(cut), ["tag", "range"])
-    order = Window.partitionBy("tag").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = inside.withColumn("end", F.col("offset") + F.sum("size").over(order)).filter(F.col("end") > F.col("rest"))
-    place = F.struct("key", F.coalesce(F.col("id"), F.lit(-(2**63))).alias("id"), "size")
-    edge = run.groupBy("tag").agg(
-        F.min(F.struct(place.alias("place"), (F.col("rest") - F.col("end") + F.col("size")).alias("part"))).alias("edge")
-    )
-    plan = plan.join(side(edge), "tag", "left").select("tag", "source_size", "target", "whole", "edge")
-
-    mine = F.struct("key", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "size")
-    extra = F.when(mine < F.col("edge.place"), F.col("size")).when(mine == F.col("edge.place"), F.col("edge.part")).otherwise(0)
-    plan = staged(plan, "mix-plan")
-    return keyed.join(F.broadcast(plan) if small else plan, "tag").select(
-        "doc", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken")
-    )
+    sums = ranges.withColumn("upto", F.sum("words").over(upto)).join(side(plan.select("tag", "left")), "tag")
+    cut = sums.filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
+    cut = cut.select("tag", "range", (F.col("upto") - F.col("words")).alias("offset"), "left")
+    inside = narrow.withColumn("range", F.substring("place.key", 1, DIGITS)).join(side(cut), ["tag", "range"])
+    inside = inside.groupBy("tag", "place", "size", "offset", "left").agg(F.count("*").alias("copies"))
+    words = F.col("size") * F.col("copies")
+    order = Window.partitionBy("tag").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    run = inside.withColumn("end", F.col("offset") + F.sum(words).over(order)).filter(F.col("end") > F.col("left"))
+    edge = run.groupBy("tag").agg(F.min(F.struct("place", (F.col("left") - F.col("end") + words).alias("part"), "copies")).alias("edge"))
+    plan = staged(plan.join(side(edge), "tag", "left").select("tag", "source_size", "target", "whole", "edge"), "mix-plan")
+
+    planned = keyed.join(F.broadcast(plan) if small else plan, "tag")
+    among = F.coalesce((F.col("place") == F.col("edge.place")) & (F.col("edge.copies") > 1), F.lit(False))
+    extra = F.when(F.col("place") < F.col("edge.place"), F.col("size")).when(F.col("place") == F.col("edge.place"), F.col("edge.part")).otherwise(0)
+
+    def out(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select("doc", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+
+    several = plan.filter("edge.copies > 1")
+    if several.isEmpty():
+        return out(planned, extra)
+    # copies at a cut: counted by task, numbered by prefix sums and made anew
+    copies = keyed.join(side(several), "tag").filter(among).withColumn("part_id", F.spark_partition_id())
+    copies = copies.groupBy("tag", "part_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc", "size", "source_size", "target", "whole", "edge")])
+    copies = staged(copies, "mix-copies")
+    before = Window.partitionBy("tag").orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
+    copies = copies.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    copies = copies.withColumn("at", F.explode(F.expr("sequence(before, before + n - 1)")))
+    return out(planned.filter(~among), extra).unionByName(out(copies, F.greatest(F.lit(0), F.least("size", F.col("edge.part") - F.col("at") * F.col("size")))))
 
 
 def drawn(mixed: DataFrame) -> DataFrame:

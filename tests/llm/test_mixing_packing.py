@@ -49,6 +49,36 @@ def test_mix_fills_each_source_to_its_target(spark):
     assert {(r.doc.doc_id, r.taken) for r in got} == {(r.doc.doc_id, r.taken) for r in again}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_copies_are_taken_one_by_one(spark, seed):
+    """Rows that come many times, also with one id and other texts."""
+    rows = [(1, "one two three four", "a")] * 50 + [(2, "x y", "a"), (3, "p q r", "b"), (3, "p q s", "b"), (3, "p q s", "b"), (None, "u v", None), (None, "u v", None), (4, "w " * 700, "c")]
+    got = mixing.mix(docs(spark, rows).repartition(3), seed=seed).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for s, target in fill(sizes).items():
+        mine = [r for r in got if r.doc.source == s]
+        assert sum(r.taken for r in mine) == int(min(np.floor(target), 2 * sizes[s])) and mine[0].target == pytest.approx(target)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    assert sorted((r.doc.doc_id or 0, r.doc.text) for r in got) == sorted((i or 0, t) for i, t, _ in rows)
+    again = mixing.mix(docs(spark, rows[::-1]), seed=seed).collect()
+    assert sorted((r.doc.text, r.taken) for r in got) == sorted((r.doc.text, r.taken) for r in again)
+    if seed == 0:
+        assert sum(r.size for r in mixing.drawn(mixing.mix(docs(spark, rows))).select(mixing.word_count(mixing.F.col("text")).alias("size")).collect()) == sum(r.taken for r in got)
+
+
+def test_many_sources_are_ranked_by_ranges(spark):
+    rows = [(k, "w " * (k * 37 % 11), f"s{k * 7919 % 300:04}") for k in range(900)]
+    got = mixing.mix(docs(spark, rows).repartition(5)).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = fill(sizes)
+    assert all(r.target == pytest.approx(want[r.doc.source]) for r in got)
+
+
 def test_drawn_texts_hold_the_words_taken(spark):
     mixed = mixing.mix(docs(spark, [(i, f" one two\nthree {i}", s) for i, s in enumerate("aabbbbc")]))
     taken = sum(r.taken for r in mixed.collect())

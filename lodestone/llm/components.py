@@ -36,6 +36,6 @@ def labels(edges: DataFrame) -> DataFrame:
         edges = staged(small.filter("u != v").distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == print_of:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         print_of = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    raise RuntimeError(f"labels still move after {ROUNDS} rounds")

@@ -1,15 +1,22 @@
-"""Similarity join of shingle sets by Jaccard, and its components.
-
-The components are those of all links, but not every link is found: pairs
-inside a component that is known already are not compared, and no list or
-number of links comes out. Answers are shared first: equal sets are one, and sets that agree on a
-band of minimum hashes are compared with the smallest of them only; what is
-linked then is one component, whose inner pairs need no further answer. The
-rest comes from an index over set prefixes: two sets that reach the threshold
-share an element of their prefixes, in an order that puts common elements
-last. Its lists are sorted by set size and, within, by the element's position;
-blocks of sizes that cannot reach the threshold are skipped, and so is the
-rest of a block from the first position that leaves too few elements.
+"""Similarity join of shingle sets by Jaccard: links, their number, components.
+
+Set relations save most of the work, on two levels.
+
+Answers: sets that agree on a band of minimum hashes are compared with one of
+them, their leader. What a member lacks and adds against its leader tells its
+overlap with any other member: |S & X| = |L| - |L - S| - |L - X| + (common
+differences), so the links inside a group are derived from the differences and
+no pair of whole sets is formed. Members so close to the leader that they link
+with all others are counted without looking at pairs at all.
+
+Index: pairs across groups come from an index over set prefixes; two sets that
+reach the threshold share an element of their prefixes, in an order that puts
+common elements last. Its lists are sorted by set size and, within, by the
+element's position; blocks of sizes that cannot reach the threshold are
+skipped, so are blocks of the set's own group, and the rest of a block from the
+first position that leaves too few elements.
+
+Elements and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bits as filters
 from .components import labels
-from .scratch import staged
+from .scratch import release, staged
 from .words import claim, slices
 
 WIDTH = 5
@@ -32,10 +40,13 @@ BANDS, ROWS = 8, 4
 #: Elements count as common by buckets of their hashes: of 2 ** HOT_BITS
 #: buckets, those that many sets of a task share, the most shared first.
 HOT_BITS, HOT_LEAST, HOT_MOST = 22, 16, 200_000
-#: Bits of the filter that spares most sets a journey to the exact check.
-FILTER_BITS = 1 << 23
 #: Candidate pairs that a task holds at a time.
 CHUNK = 1 << 20
+#: Entries of a group in a list's size from which they are a block of their own.
+OWN_BLOCK = 16
+#: Members of a group whose links are derived together; larger groups go in
+#: pairs of such blocks.
+MEMBERS = 4096
 
 U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -107,14 +118,18 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.array([len(p) for p in parts], np.int64)
 
 
-def sketches(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(128-bit prints of the sets, hashes of their bands)."""
-    owner, prints = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), 2), np.uint64)
-    full = np.flatnonzero(sizes)
+def prints_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each set; 0 for the empty one."""
+    prints, full = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
     if len(full):
         starts = (np.cumsum(sizes) - sizes)[full]
-        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-            prints[full, k] = mixed(np.add.reduceat(mixed(elements ^ U(salt)), starts) + sizes[full].astype(np.uint64))
+        prints[full] = mixed(np.add.reduceat(mixed(elements ^ U(0x5851F42D4C957F2D)), starts) + sizes[full].astype(np.uint64))
+    return prints
+
+
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the sets, hashes of their bands)."""
+    owner, prints = np.repeat(np.arange(len(sizes)), sizes), prints_of(elements, sizes)
     bins = BANDS * ROWS
     slot = owner * bins + (elements >> U(64 - (bins - 1).bit_length())).astype(np.int64)
     lows = np.zeros(len(sizes) * bins, np.uint64)
@@ -153,7 +168,7 @@ def _texts(batch: pa.RecordBatch, at: int = 1) -> list[str]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, the print (p, q), bands and parity bits; and rows without a
+    """Per row: doc_id, n, the print p, bands and parity bits; and rows without a
     doc_id but with a hot bucket and the number of sets that share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +181,18 @@ def described(docs: DataFrame) -> DataFrame:
             rows, none, ends = len(sizes), [None] * len(sizes), np.cumsum(sizes).tolist()
             bits = pa.array([parities(elements[e - n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), _signed(prints[:, 0]), _signed(prints[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * BANDS, BANDS, dtype=np.int32)), _signed(bands.ravel())), bits, pa.array(none, pa.int32()), pa.array([False] * rows)], NAMES
+                [batch.column(0), pa.array(sizes), _signed(prints), pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * BANDS, BANDS, dtype=np.int32)), _signed(bands.ravel())), bits, pa.array(none, pa.int32()), pa.array([False] * rows)], NAMES
             )
         hot = np.flatnonzero(shared >= HOT_LEAST + 4 * total / len(shared))
         blank = [None] * len(hot)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blank, pa.int64()), pa.array(shared[hot]), pa.array(blank, pa.int64()), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(blank, pa.binary()), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
+            [pa.array(blank, pa.int64()), pa.array(shared[hot]), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(blank, pa.binary()), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, p long, q long, bands array<long>, bits binary, bucket int, hot boolean")
+    return docs.mapInArrow(run, "doc_id long, n long, p long, bands array<long>, bits binary, bucket int, hot boolean")
 
 
-NAMES = ["doc_id", "n", "p", "q", "bands", "bits", "bucket", "hot"]
+NAMES = ["doc_id", "n", "p", "bands", "bits", "bucket", "hot"]
 
 
 def hot_buckets(spark, rows: DataFrame) -> np.ndarray:
@@ -188,55 +203,55 @@ def hot_buckets(spark, rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).cast("int")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and the elements (binary) of the rows whose doc_id may be in
-    ``ids``: a bit filter of fixed size passes these and a few others."""
-    spark = docs.sparkSession
-    bits = ids.select(_slot(F.col("id")).alias("slot")).groupBy(F.expr("slot div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.collect():
-        table[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    held = spark.sparkContext.broadcast(table)
+def sets_of(docs: DataFrame, ids: DataFrame, room: int) -> DataFrame:
+    """p and the elements (binary) of the rows whose doc_id may be the ``id``
+    of a row of ``ids``: a bit filter of about 16 bits an id, ``room`` in all,
+    passes these and a few others."""
+    held = docs.sparkSession.sparkContext.broadcast(filters.collected(ids.select(filters.slot(F.col("id"), room).alias("slot")), room))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            passed = np.flatnonzero(own[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            passed = np.flatnonzero(filters.passed(own, batch.column(2).to_numpy())) if batch.num_rows else ()
             for part in slices([batch.take(pa.array(passed))]) if len(passed) else ():
                 elements, sizes = shingle_sets(_texts(part))
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([_signed(prints_of(elements, sizes)), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["p", "elements"])
 
-    return docs.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(run, "doc_id long, elements binary")
+    return docs.filter("doc_id IS NOT NULL").withColumn("slot", filters.slot(F.col("doc_id"), room)).mapInArrow(run, "p long, elements binary").filter("length(elements) > 0")
 
 
-def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by intersecting them."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    sets = staged(sets_of(docs, ids), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, room: int, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold, by
+    intersecting them; with their sizes, their common elements and the elements
+    that one of them has alone (binary), if ``differences`` are asked for."""
+    ends = pairs.select(F.col("a").alias("p")).unionAll(pairs.select(F.col("b").alias("p"))).distinct()
+    sets = staged(sets_of(docs, ends.join(classes.select("p", F.col("least").alias("id")), "p"), room), "sets")
+    both = pairs.join(sets.select(F.col("p").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("p").alias("b"), F.col("elements").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, n, m, shared, apart = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0
-                keep.append(common > 0 and PART * common >= WHOLE * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                same = x[at] == y
+                common = int(same.sum())
+                keep.append(PART * common >= WHOLE * (len(x) + len(y) - common))
+                n.append(len(x))
+                m.append(len(y))
+                shared.append(common)
+                apart.append(np.concatenate([np.delete(x, at[same]), y[~same]]).tobytes() if differences and keep[-1] else None)
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(shared, pa.int64()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "m", "common", "apart"]).filter(pa.array(keep, pa.bool_()))
+
+    found = staged(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n long, m long, common long, apart binary").dropDuplicates(["a", "b"]), "links")
+    release(sets)
+    return found
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n and the prefix (binary) of each row with a set."""
+    """doc_id, p, n and the prefix (binary) of each row with a set."""
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +264,13 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 take = n - -(-WHOLE * n // PART) + 1
                 own = keys[e - n : e]
                 out.append(np.sort(np.partition(own, take - 1)[:take] if take < n else own).tobytes() if n else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out, pa.binary())], ["doc_id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(prints_of(elements, sizes)), pa.array(sizes), pa.array(out, pa.binary())], ["doc_id", "p", "n", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix binary").filter("n > 0")
+    return docs.mapInArrow(run, "doc_id long, p long, n long, prefix binary").filter("n > 0")
 
 
 def posted(rows: DataFrame) -> DataFrame:
-    """An index row for each element of the prefixes of (doc_id, part, n, prefix)."""
+    """An index row for each element of the prefixes of (p, part, n, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
@@ -264,10 +279,10 @@ def posted(rows: DataFrame) -> DataFrame:
             place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             npos = np.repeat(batch.column(2).to_numpy() << 32, sizes) + place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), pa.array(npos), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))], ["token", "npos", "doc_id", "part"]
+                [pa.array(np.concatenate(tokens)), pa.array(npos), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))], ["token", "npos", "p", "part"]
             )
 
-    return rows.select("doc_id", "part", "n", "prefix").mapInArrow(run, "token long, npos long, doc_id long, part long")
+    return rows.select("p", "part", "n", "prefix").mapInArrow(run, "token long, npos long, p long, part long")
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -275,18 +290,29 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-WHOLE * (n + m) // (PART + WHOLE))
 
 
-def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of possible pairs in lists sorted by token, n, pos.
+def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of possible pairs of different parts, or in parts with few
+    entries, in lists sorted by token, n, pos.
 
     Each entry looks at the blocks of its list with its own or a smaller size,
     from the smallest that can link, and within a block at the entries whose
-    position leaves enough elements.
+    position leaves enough elements. A part with many entries of a size is a
+    block of its own, which entries of the part pass over.
     """
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (n[1:] != n[:-1])])
+    inside = np.cumsum(np.concatenate([[False], (token[1:] != token[:-1]) | (n[1:] != n[:-1])]))
+    by = np.lexsort((part, inside))
+    heads = np.flatnonzero(np.concatenate([[True], (part[by][1:] != part[by][:-1]) | (inside[by][1:] != inside[by][:-1])]))
+    sizes = np.diff(np.append(heads, len(by)))
+    own = np.full(len(token), -1, np.int64)  # which block of its own an entry is in
+    own[by] = np.repeat(np.where(sizes >= OWN_BLOCK, np.arange(len(sizes)), -1), sizes)
+    order = np.lexsort((pos, own, inside))
+    token, n, pos, part, own = token[order], n[order], pos[order], part[order], own[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (own[1:] != own[:-1])])
     block = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
     ends = np.concatenate([starts[1:], [len(token)]])
     size, head = n[starts], np.concatenate([[True], token[starts][1:] != token[starts][:-1]])
+    sole, of = own[starts] >= 0, part[starts]
     list_at = np.maximum.accumulate(np.where(head, np.arange(len(starts)), 0))  # first block of the list
     wide = int(size.max()) + 2
     rank = (np.cumsum(head) * wide + size).astype(np.int64)  # blocks ordered by list and size
@@ -301,7 +327,7 @@ def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tu
         entry = np.repeat(np.arange(at, to), look[at:to])
         b = np.repeat(lowest[block[at:to]], look[at:to]) + np.arange(len(entry)) - np.repeat(np.cumsum(look[at:to]) - look[at:to], look[at:to])
         need = needed(n[entry], size[b])
-        fits = n[entry] - pos[entry] >= need
+        fits = (n[entry] - pos[entry] >= need) & ~(sole[b] & (of[b] == part[entry]))
         entry, b, need = entry[fits], b[fits], need[fits]
         top = np.searchsorted(code, b * (int(pos.max()) + 2) + np.maximum(size[b] - need, -1), "right")
         top = np.minimum(np.where(b == block[entry], np.minimum(top, entry), top), ends[b])
@@ -312,22 +338,22 @@ def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tu
         while k < len(entry):
             m = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + CHUNK, "right")))
             c = count[k:m]
-            yield np.repeat(first[k:m], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c), np.repeat(entry[k:m], c)
+            yield order[np.repeat(first[k:m], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)], order[np.repeat(entry[k:m], c)]
             k = m
         at = to
 
 
 def candidates(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents of different parts that may link."""
-    rows = index.repartition(F.col("token")).sortWithinPartitions("token", "npos", "doc_id")
+    """Pairs (a, b) of classes of different parts that may link."""
+    rows = index.repartition(F.col("token")).sortWithinPartitions("token", "npos", "p")
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, npos, doc, part = (table.column(k).to_numpy() for k in range(4))
+        token, npos, own, part = (table.column(k).to_numpy() for k in range(4))
         if not len(token):
             return
-        for i, j in list_pairs(token, npos >> 32, npos & 0xFFFFFFFF):
+        for i, j in list_pairs(token, npos >> 32, npos & 0xFFFFFFFF, part):
             apart = part[i] != part[j]
-            a, b = doc[i[apart]], doc[j[apart]]
+            a, b = own[i[apart]], own[j[apart]]
             if len(a):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -349,59 +375,191 @@ def candidates(index: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, beginnings, lengths) of a binary column."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8), ends[:-1], np.diff(ends)
+
+
+def differing(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Lower bounds of the elements in one set alone, from two columns of such
+    bit rows; of two rows the longer one folds onto the shorter."""
+    (flat_x, at_x, wide_x), (flat_y, at_y, wide_y) = _rows(x), _rows(y)
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(np.stack([wide_x, wide_y]), axis=1).T.tolist():
+        some = np.flatnonzero((wide_x == w[0]) & (wide_y == w[1]))
+        rows = [flat[at[some][:, None] + np.arange(n)].view(np.uint64) for flat, at, n in ((flat_x, at_x, w[0]), (flat_y, at_y, w[1]))]
+        small, large = sorted(rows, key=lambda r: r.shape[1])
+        while large.shape[1] > small.shape[1]:
+            large = large[:, : large.shape[1] // 2] ^ large[:, large.shape[1] // 2 :]
+        out[some] = np.bitwise_count(small ^ large).sum(1)
+    return out
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose parity bits leave a link possible: of sets that link,
     at most (PART - WHOLE) / (PART + WHOLE) of all elements are in one alone."""
-    side = classes.select("rep", "n", "bits")
+    side = classes.select("p", "n", "bits")
     both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             most = (PART - WHOLE) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-            apart = [differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            keep = (PART + WHOLE) * np.array(apart, np.int64) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = (PART + WHOLE) * differing(batch.column(4), batch.column(5)) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def single_lists_out(table: pa.Table) -> pa.Table:
-    """Without the elements that one set alone has."""
-    token = table.column(0).to_numpy()
+    """Without the elements that the sets of one part alone have."""
+    token, part = table.column(0).to_numpy(), table.column(3).to_numpy()
     if not len(token):
         return table
-    same = np.concatenate([[False], token[1:] == token[:-1]])
-    return table.filter(pa.array(same | np.concatenate([same[1:], [False]]))).combine_chunks()
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    several = np.minimum.reduceat(part, heads) != np.maximum.reduceat(part, heads)
+    return table.filter(pa.array(np.repeat(several, np.diff(np.append(heads, len(token)))))).combine_chunks()
+
+
+def derived_links(weight: np.ndarray, apart: list[np.ndarray], total: int, left: np.ndarray) -> np.ndarray:
+    """Links of each member of a group with the members on the other side (all
+    others, if every member is on the ``left``), from the members' differences
+    to the leader. Members link if the common differences, PART + WHOLE each,
+    make up for what their weights exceed ``total`` by."""
+    counts = np.zeros(len(weight), np.int64)
+    rows = np.flatnonzero(left)
+    columns = rows if left.all() else np.flatnonzero(~left)
+    if not len(rows) or not len(columns):
+        return counts
+    sizes = np.array([len(x) for x in apart], np.int64)
+    elements, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *apart]), return_inverse=True)
+    owner = np.repeat(np.arange(len(weight)), sizes)
+    place = np.full(len(weight), -1)
+    place[columns] = np.arange(len(columns))
+    on = place[owner] >= 0  # the inverted lists of the differences
+    by = np.argsort(ids[on], kind="stable")
+    lists, edges = place[owner[on]][by], np.searchsorted(ids[on][by], np.arange(len(elements) + 1))
+    ends = np.cumsum(sizes)
+    step = max(1, CHUNK // len(columns))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        common = np.zeros((len(some), len(columns)), np.int32)
+        if (weight[some].max() + weight[columns].max()) > total:
+            for k, r in enumerate(some.tolist()):
+                own = ids[ends[r] - sizes[r] : ends[r]]
+                spans = [lists[edges[e] : edges[e + 1]] for e in own.tolist()]
+                if spans:
+                    common[k] = np.bincount(np.concatenate(spans), minlength=len(columns))
+        link = (PART + WHOLE) * common >= weight[some][:, None] + weight[columns][None, :] - total
+        if columns is rows:
+            link[np.arange(len(some)), np.arange(at, at + len(some))] = False
+        else:
+            counts[columns] += link.sum(0)
+        counts[some] += link.sum(1)
+    return counts
+
+
+def inner_links(members: DataFrame) -> DataFrame:
+    """p and its number of links inside its group, of (part, p, n, common,
+    whole, apart): whole is the leader's size, apart the differences to it.
+
+    Two members link if their weights, PART + WHOLE for each element that one
+    lacks of the leader and WHOLE for each element it has, stay within the
+    leader's total, or common differences make up for the rest. A member that
+    stays within it with the heaviest one links with all; only the others are
+    looked at, in pairs of blocks.
+    """
+    total = (PART + WHOLE) * F.col("whole")
+    rows = members.withColumn("weight", (PART + WHOLE) * (F.col("whole") - F.col("common")) + WHOLE * F.col("n")).withColumn("total", total)
+    groups = rows.groupBy("part").agg(F.count("*").alias("size"), F.max("weight").alias("most")).filter("size > 1")
+    rows = rows.join(groups, "part").withColumn("close", F.col("weight") + F.col("most") <= F.col("total"))
+    sure = rows.filter("close").select("p", (F.col("size") - 1).alias("links"))
+    others = rows.filter("NOT close")
+    numbers = others.groupBy("part").agg(F.count("*").alias("others"))
+    others = others.join(numbers, "part").withColumn("blocks", F.ceil(F.col("others") / MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+    reached = others.select("p", (F.col("size") - F.col("others")).alias("links"))  # the close ones
+    dealt = others.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "p", "weight", "total", "apart")
+    dealt = dealt.repartition(F.col("part"), F.col("low"), F.col("high")).sortWithinPartitions("part", "low", "high", "p")
+
+    def counted(table: pa.Table) -> pa.RecordBatch:
+        low, block = table.column("low").to_numpy(), table.column("block").to_numpy()
+        apart = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("apart")]
+        links = derived_links(table.column("weight").to_numpy(), apart, table.column("total")[0].as_py(), block == low)
+        return pa.RecordBatch.from_arrays([table.column("p").combine_chunks(), pa.array(links)], ["p", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            turn = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(turn, turn[1:], strict=False):
+                if held and any(held[-1].column(k)[0].as_py() != keys[k, a] for k in range(3)):
+                    yield counted(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield counted(pa.Table.from_batches(held))
+
+    return sure.unionByName(reached).unionByName(dealt.mapInArrow(run, "p long, links long")).groupBy("p").agg(F.sum("links").alias("inner"))
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+    """doc_id, n_shingles, component_id and n_links of every row of ``docs``;
+    n_links is the number of other sets that the row's set links with, copies
+    of a set being one.
 
     Null and empty texts have no shingles and link with nothing. A doc_id is
-    one vertex: rows that repeat it share their links. A null doc_id takes no
-    part and gets a null component. Other columns are not read.
+    one vertex: rows that repeat it, of equal or unlike texts, are in one
+    component. A null doc_id takes no part and gets a null component. An empty
+    table gives no rows. A very long text is one large set, held whole by the
+    tasks that compare it. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     rows = staged(described(docs), "jaccard")
     own = rows.filter("NOT hot")
     sets = own.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(sets.groupBy("p", "q").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(F.struct("doc_id", "bands", "bits")).alias("first")).select("p", "q", "rep", "n", "first.bands", "first.bits"), "classes")
-
-    # answers shared: each set of a band against the smallest of the band
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    leads = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    pairs = banded.join(leads, ["band", "key"]).filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    near = staged(linked(staged(pairs, "near"), docs), "near-links")
-    parts = staged(labels(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-
-    # the rest from the index
-    vertices = classes.select(F.col("rep").alias("node")).distinct().join(parts, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("label", "node").alias("part"))
-    index = posted(prefixes(docs, hot_buckets(spark, rows)).join(vertices, "doc_id"))
-    more = linked(staged(plausible(candidates(index), classes), "candidates"), docs)
-    edges = near.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = staged(labels(edges), "components")
-
-    found = own.join(classes.select("p", "q", "rep"), ["p", "q"], "left").join(final, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    classes = staged(sets.groupBy("p").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("first")).select("p", F.col("first.doc_id").alias("least"), "first.n", "first.bands", "first.bits"), "classes")
+    room = filters.sized(classes.count())
+
+    # each set of a band against the band's leader; its leader's group is its own
+    banded = classes.select("p", F.posexplode("bands").alias("band", "key"))
+    leads = banded.groupBy("band", "key").agg(F.min("p").alias("a"), F.max("p").alias("most")).filter("a != most").drop("most")
+    pairs = staged(banded.join(leads, ["band", "key"]).filter("p != a").select("a", F.col("p").alias("b")).distinct(), "near")
+    near = linked(pairs, docs, classes, room, True)
+    stars = staged(near.groupBy("b").agg(F.min(F.struct("a", "n", "m", "common", "apart")).alias("to")).select(F.col("b").alias("p"), F.col("to.a").alias("part"), F.col("to.m").alias("n"), "to.common", F.col("to.n").alias("whole"), "to.apart"), "stars")
+    leaders = near.select(F.col("a").alias("p"), "n").distinct().join(stars.select("p"), "p", "left_anti")
+    leaders = leaders.select("p", F.col("p").alias("part"), "n", F.col("n").alias("common"), F.col("n").alias("whole"), F.lit(b"").alias("apart"))
+    inner = inner_links(stars.unionByName(leaders))
+
+    # pairs across groups from the index
+    vertices = classes.select("p", "least").join(stars.select("p", "part"), "p", "left").select("p", F.col("least").alias("doc_id"), F.coalesce("part", "p").alias("part"))
+    index = posted(prefixes(docs, hot_buckets(spark, rows)).join(vertices, ["doc_id", "p"]))
+    chosen = staged(plausible(candidates(index), classes), "candidates")
+    more = linked(chosen, docs, classes, room)
+    ends = more.select(F.col("a").alias("p")).unionAll(more.select(F.col("b").alias("p")))
+    links = inner.join(ends.groupBy("p").agg(F.count("*").alias("outer")), "p", "full").select("p", (F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("n_links"))
+
+    # ids that repeat with unlike texts tie their sets together
+    mixed_ids = staged(own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low != high").select("doc_id"), "repeats")
+    again = own.join(mixed_ids, "doc_id").filter("n > 0").select("doc_id", "p").distinct()
+    ties = again.join(again.groupBy("doc_id").agg(F.min("p").alias("v")), "doc_id").select(F.col("p").alias("u"), "v")
+    edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(ties)
+    found = labels(edges)
+    found = found.unionByName(found.select(F.col("label").alias("node"), "label").distinct())
+    named = classes.join(found, F.col("p") == F.col("node"))
+    least = named.groupBy("label").agg(F.min("least").alias("component"))
+    known = staged(named.select("p", "label").join(least, "label").join(links, "p", "full").select("p", "component", "n_links"), "components")
+    own_component = again.join(classes.select("p", "least"), "p").join(known, "p", "left").groupBy("doc_id").agg(F.min(F.least("component", "least")).alias("of_id"))
+
+    out = own.join(classes.select("p", "least"), "p", "left").join(known, "p", "left").join(own_component, "doc_id", "left")
+    component = F.coalesce("of_id", F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id")))
+    release(near, stars, chosen, pairs)
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )

@@ -30,7 +30,7 @@ shingles AS (
     SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
     FROM words)),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(md5(s), '' ORDER BY md5(s))) AS print FROM shingles GROUP BY doc_id),
 pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
   FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
@@ -38,12 +38,15 @@ links AS (
   SELECT x, y FROM pairs JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
   WHERE 100 * c >= 75 * (sx.n + sy.n - c)),
 either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+others AS (
+  SELECT x AS doc_id, count(DISTINCT sy.print) AS m
+  FROM either JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE sx.print != sy.print GROUP BY x),
 reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION
   SELECT r.doc_id, b.y FROM reach r JOIN either b ON b.x = r.other)
-SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, coalesce(max(m), 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN others USING (doc_id) JOIN reach USING (doc_id)
 GROUP BY d.doc_id
 """
 

@@ -12,19 +12,24 @@ def shingles(text):
 
 
 def brute(rows):
-    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    """(doc_id, size, component, links with other sets) of each row."""
+    sets, parent = [shingles(t) for _, t in rows], {i: i for i, _ in rows}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-            x, y = sorted((root(a), root(b)))
+    links = {}
+    for (i, s), (j, t) in itertools.combinations(zip([i for i, _ in rows], sets), 2):
+        both = len(s & t)
+        if both and 100 * both >= 75 * len(s | t):
+            x, y = sorted((root(i), root(j)))
             parent[y] = x
-    return {(i, len(sets[i]), root(i)) for i in sets}
+            if s != t:
+                links.setdefault(frozenset(s), set()).add(frozenset(t))
+                links.setdefault(frozenset(t), set()).add(frozenset(s))
+    return sorted((i, len(s), root(i), len(links.get(frozenset(s), ()))) for (i, _), s in zip(rows, sets))
 
 
 def variants(rng, base, n, edits):
@@ -46,9 +51,33 @@ def test_components_match_brute_force(spark):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     docs = spark.createDataFrame([(int(i), t, "x", 1) for i, t in rows], "doc_id long, text string, n_shingles string, part int")
-    got = jaccard.components(docs).collect()
-    assert {tuple(r) for r in got} == brute(rows)
-    assert len(got) == len(rows)
+    assert sorted(tuple(r) for r in jaccard.components(docs).collect()) == brute(rows)
+
+
+def test_repeated_ids_are_one_vertex(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (9, a), (7, c), (7, ""), (6, c), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[:3] for r in jaccard.components(docs).collect())
+    assert got == [(3, 8, 3), (4, 0, 4), (5, 8, 3), (5, 8, 3), (6, 8, 6), (7, 0, 6), (7, 8, 6), (9, 8, 3), (9, 8, 3)]
+
+
+def test_links_of_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    rng = np.random.default_rng(8)
+    rows = list(enumerate(variants(rng, [f"w{v}" for v in range(90)], 130, 6)))
+    rows += [(200 + k, t) for k, t in enumerate(variants(rng, [f"v{v}" for v in range(300)], 60, 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.components(docs).collect()) == brute(rows)
+
+
+def test_near_copies_are_not_paired_by_the_index():
+    """40,000 entries of one group in a list, and one of another."""
+    n = 40_000
+    token, part = np.zeros(n + 1, np.int64), np.append(np.full(n, 7), 8)
+    pairs = [p for p in jaccard.list_pairs(token, np.full(n + 1, 100), np.append(np.sort(np.arange(n) % 26), 0), part)]
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    assert 0 < len(i) <= n and (part[i] != part[j]).all()
 
 
 def test_index_finds_all_without_shared_answers(spark):
@@ -62,17 +91,17 @@ def test_index_finds_all_without_shared_answers(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hot = np.zeros(1 << jaccard.HOT_BITS, bool)
     hot[::7] = True
-    rows = jaccard.prefixes(docs, hot).withColumn("part", jaccard.F.col("doc_id"))
+    rows = jaccard.prefixes(docs, hot).withColumn("part", jaccard.F.col("doc_id")).withColumn("p", jaccard.F.col("doc_id"))
     found = jaccard.candidates(jaccard.posted(rows))
     assert want and want <= {tuple(r) for r in found.collect()}
-    described = jaccard.described(docs).filter("NOT hot").select(jaccard.F.col("doc_id").alias("rep"), "n", "bits")
+    described = jaccard.described(docs).filter("NOT hot").select(jaccard.F.col("doc_id").alias("p"), "n", "bits")
     assert want <= {tuple(r) for r in jaccard.plausible(found, described).collect()}
 
 
 def test_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(3, "a b c d e f")] * 3 + [(None, "a b c d e f"), (7, "q")], "doc_id long, text string")
     got = sorted(tuple(r) for r in jaccard.components(docs).filter("doc_id is not null").collect())
-    assert got == [(3, 2, 3)] * 3 + [(7, 1, 7)]
+    assert got == [(3, 2, 3, 0)] * 3 + [(7, 1, 7, 0)]
     assert jaccard.components(docs.limit(0)).collect() == []
 
 

@@ -3,11 +3,12 @@
 Set relations save most of the work, on two levels.
 
 Answers: sets that agree on a band of minimum hashes are compared with one of
-them, their leader. What a member lacks and adds against its leader tells its
-overlap with any other member: |S & X| = |L| - |L - S| - |L - X| + (common
-differences), so the links inside a group are derived from the differences and
-no pair of whole sets is formed. Members so close to the leader that they link
-with all others are counted without looking at pairs at all.
+them; what links then is a group, with its first set as the leader. What a
+member lacks and adds against the leader tells its overlap with any other
+member: |S & X| = |L| - |L - S| - |L - X| + (common differences), so the links
+inside a group are derived from the differences and no pair of whole sets is
+formed. Members so close to the leader that they link with all others are
+counted without looking at pairs at all.
 
 Index: pairs across groups come from an index over set prefixes; two sets that
 reach the threshold share an element of their prefixes, in an order that puts
@@ -221,33 +222,39 @@ def sets_of(docs: DataFrame, ids: DataFrame, room: int) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").withColumn("slot", filters.slot(F.col("doc_id"), room)).mapInArrow(run, "p long, elements binary").filter("length(elements) > 0")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, room: int, differences: bool = False) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, by
-    intersecting them; with their sizes, their common elements and the elements
-    that one of them has alone (binary), if ``differences`` are asked for."""
+def fetched(pairs: DataFrame, docs: DataFrame, classes: DataFrame, room: int) -> DataFrame:
+    """p and the elements of the classes at the ends of ``pairs``."""
     ends = pairs.select(F.col("a").alias("p")).unionAll(pairs.select(F.col("b").alias("p"))).distinct()
-    sets = staged(sets_of(docs, ends.join(classes.select("p", F.col("least").alias("id")), "p"), room), "sets")
+    return staged(sets_of(docs, ends.join(classes.select("p", F.col("least").alias("id")), "p"), room), "sets")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold. With
+    ``differences``, all pairs, with the sizes of both sets, their common
+    elements and the elements that one of them has alone (binary)."""
     both = pairs.join(sets.select(F.col("p").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("p").alias("b"), F.col("elements").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, n, m, shared, apart = [], [], [], [], []
+        for batch in slices(batches):
+            n, m, shared, apart = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 same = x[at] == y
-                common = int(same.sum())
-                keep.append(PART * common >= WHOLE * (len(x) + len(y) - common))
                 n.append(len(x))
                 m.append(len(y))
-                shared.append(common)
-                apart.append(np.concatenate([np.delete(x, at[same]), y[~same]]).tobytes() if differences and keep[-1] else None)
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(shared, pa.int64()), pa.array(apart, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "m", "common", "apart"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(int(same.sum()))
+                if differences:
+                    apart.append(np.concatenate([np.delete(x, at[same]), y[~same]]).tobytes())
+            n, m, shared = (np.array(v, np.int64) for v in (n, m, shared))
+            if differences:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (n, m, shared)), pa.array(apart, pa.binary())], ["a", "b", "n", "m", "common", "apart"])
+            else:
+                keep = PART * shared >= WHOLE * (n + m - shared)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    found = staged(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n long, m long, common long, apart binary").dropDuplicates(["a", "b"]), "links")
-    release(sets)
-    return found
+    kind = "a long, b long, n long, m long, common long, apart binary" if differences else "a long, b long"
+    return staged(both.select("a", "b", "x", "y").mapInArrow(run, kind).dropDuplicates(["a", "b"]), "overlaps")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -467,18 +474,25 @@ def inner_links(members: DataFrame) -> DataFrame:
     lacks of the leader and WHOLE for each element it has, stay within the
     leader's total, or common differences make up for the rest. A member that
     stays within it with the heaviest one links with all; only the others are
-    looked at, in pairs of blocks.
+    looked at, in pairs of blocks. Blocks are of sizes within WHOLE / PART of
+    each other, so that only neighbouring sizes can link.
     """
     total = (PART + WHOLE) * F.col("whole")
-    rows = members.withColumn("weight", (PART + WHOLE) * (F.col("whole") - F.col("common")) + WHOLE * F.col("n")).withColumn("total", total)
+    weight = (PART + WHOLE) * (F.col("whole") - F.col("common")) + WHOLE * F.col("n")
+    rows = members.withColumns({"weight": weight, "total": total, "step": F.floor(F.log("n") / float(np.log(PART / WHOLE)) + 1e-9).cast("long")})
     groups = rows.groupBy("part").agg(F.count("*").alias("size"), F.max("weight").alias("most")).filter("size > 1")
     rows = rows.join(groups, "part").withColumn("close", F.col("weight") + F.col("most") <= F.col("total"))
     sure = rows.filter("close").select("p", (F.col("size") - 1).alias("links"))
     others = rows.filter("NOT close")
-    numbers = others.groupBy("part").agg(F.count("*").alias("others"))
-    others = others.join(numbers, "part").withColumn("blocks", F.ceil(F.col("others") / MEMBERS).cast("int")).withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
-    reached = others.select("p", (F.col("size") - F.col("others")).alias("links"))  # the close ones
-    dealt = others.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "p", "weight", "total", "apart")
+    steps = others.groupBy("part", "step").agg(F.count("*").alias("many"))
+    steps = steps.select("part", F.struct("step", F.ceil(F.col("many") / MEMBERS).alias("blocks"), "many").alias("own")).groupBy("part").agg(F.collect_list("own").alias("steps"))  # sizes have few steps
+    others = others.join(steps, "part")
+    mine = F.filter("steps", lambda s: s["step"] == F.col("step"))[0]["blocks"]
+    block = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("p"), mine)
+    near = F.filter("steps", lambda s: F.abs(s["step"] - F.col("step")) <= 1)
+    blocks = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["blocks"] - 1), lambda k: s["step"] * (1 << 32) + k)))
+    reached = others.select("p", (F.col("size") - F.aggregate("steps", F.lit(0).cast("long"), lambda x, s: x + s["many"])).alias("links"))  # the close ones
+    dealt = others.withColumn("block", block).withColumn("other", F.explode(blocks)).select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "p", "weight", "total", "apart")
     dealt = dealt.repartition(F.col("part"), F.col("low"), F.col("high")).sortWithinPartitions("part", "low", "high", "p")
 
     def counted(table: pa.Table) -> pa.RecordBatch:
@@ -524,21 +538,27 @@ def components(docs: DataFrame) -> DataFrame:
     classes = staged(sets.groupBy("p").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("first")).select("p", F.col("first.doc_id").alias("least"), "first.n", "first.bands", "first.bits"), "classes")
     room = filters.sized(classes.count())
 
-    # each set of a band against the band's leader; its leader's group is its own
+    # each set of a band against the first of the band
     banded = classes.select("p", F.posexplode("bands").alias("band", "key"))
     leads = banded.groupBy("band", "key").agg(F.min("p").alias("a"), F.max("p").alias("most")).filter("a != most").drop("most")
     pairs = staged(banded.join(leads, ["band", "key"]).filter("p != a").select("a", F.col("p").alias("b")).distinct(), "near")
-    near = linked(pairs, docs, classes, room, True)
-    stars = staged(near.groupBy("b").agg(F.min(F.struct("a", "n", "m", "common", "apart")).alias("to")).select(F.col("b").alias("p"), F.col("to.a").alias("part"), F.col("to.m").alias("n"), "to.common", F.col("to.n").alias("whole"), "to.apart"), "stars")
-    leaders = near.select(F.col("a").alias("p"), "n").distinct().join(stars.select("p"), "p", "left_anti")
+    sets = fetched(pairs, docs, classes, room)
+    near = overlaps(pairs, sets)
+    parts = staged(labels(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+    members = overlaps(parts.select(F.col("label").alias("a"), F.col("node").alias("b")), sets, True)
+    release(sets)
+    stars = members.select(F.col("b").alias("p"), F.col("a").alias("part"), F.col("m").alias("n"), "common", F.col("n").alias("whole"), "apart")
+    leaders = members.select(F.col("a").alias("p"), "n").distinct()
     leaders = leaders.select("p", F.col("p").alias("part"), "n", F.col("n").alias("common"), F.col("n").alias("whole"), F.lit(b"").alias("apart"))
     inner = inner_links(stars.unionByName(leaders))
 
     # pairs across groups from the index
-    vertices = classes.select("p", "least").join(stars.select("p", "part"), "p", "left").select("p", F.col("least").alias("doc_id"), F.coalesce("part", "p").alias("part"))
+    vertices = classes.select("p", "least").join(parts, F.col("p") == F.col("node"), "left").select("p", F.col("least").alias("doc_id"), F.coalesce("label", "p").alias("part"))
     index = posted(prefixes(docs, hot_buckets(spark, rows)).join(vertices, ["doc_id", "p"]))
     chosen = staged(plausible(candidates(index), classes), "candidates")
-    more = linked(chosen, docs, classes, room)
+    sets = fetched(chosen, docs, classes, room)
+    more = overlaps(chosen, sets)
+    release(sets)
     ends = more.select(F.col("a").alias("p")).unionAll(more.select(F.col("b").alias("p")))
     links = inner.join(ends.groupBy("p").agg(F.count("*").alias("outer")), "p", "full").select("p", (F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("n_links"))
 
@@ -556,7 +576,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     out = own.join(classes.select("p", "least"), "p", "left").join(known, "p", "left").join(own_component, "doc_id", "left")
     component = F.coalesce("of_id", F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id")))
-    release(near, stars, chosen, pairs)
+    release(near, members, chosen, pairs, more, parts)
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -38,6 +38,8 @@ WIDTH = 5
 #: Two sets link when PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
 BANDS, ROWS = 8, 4
+#: Sets of a band, drawn by hash, that the others of the band are compared with.
+LEADERS = 2
 #: Elements count as common by buckets of their hashes: of 2 ** HOT_BITS
 #: buckets, those that many sets of a task share, the most shared first.
 HOT_BITS, HOT_LEAST, HOT_MOST = 22, 16, 200_000
@@ -538,10 +540,12 @@ def components(docs: DataFrame) -> DataFrame:
     classes = staged(sets.groupBy("p").agg(F.min(F.struct("doc_id", "n", "bands", "bits")).alias("first")).select("p", F.col("first.doc_id").alias("least"), "first.n", "first.bands", "first.bits"), "classes")
     room = filters.sized(classes.count())
 
-    # each set of a band against the first of the band
+    # each set of a band against a few of the band
     banded = classes.select("p", F.posexplode("bands").alias("band", "key"))
-    leads = banded.groupBy("band", "key").agg(F.min("p").alias("a"), F.max("p").alias("most")).filter("a != most").drop("most")
-    pairs = staged(banded.join(leads, ["band", "key"]).filter("p != a").select("a", F.col("p").alias("b")).distinct(), "near")
+    drawn = [F.min_by("p", F.xxhash64("p", "band", F.lit(k))) for k in range(LEADERS)]
+    leads = banded.groupBy("band", "key").agg(F.array_distinct(F.array(*drawn)).alias("leaders"), F.count("*").alias("many")).filter("many > 1")
+    pairs = banded.join(leads, ["band", "key"]).select("p", F.explode("leaders").alias("a")).filter("p != a")
+    pairs = staged(plausible(pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct(), classes), "near")
     sets = fetched(pairs, docs, classes, room)
     near = overlaps(pairs, sets)
     parts = staged(labels(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")

@@ -1,11 +1,13 @@
 """A linear-chain conditional random field in numpy.
 
 Potentials of a word are sums of weights of its hashed features, in three
-roles: as the word itself, as the word before and as the word after. A text is
-cut into blocks of ``BLOCK`` words; the chain runs within a block, while the
-neighbouring words of the roles are seen across blocks. All blocks of a slice
-of texts go through the recursions together, so that the cost per word is a
-dictionary lookup and some vector arithmetic.
+roles: as the word itself, as the word before and as the word after. The chain
+runs over whole texts. A text is laid out in blocks of ``BLOCK`` words, all
+blocks of a slice of texts side by side: a first pass multiplies up what each
+block does to any state that enters it, a scan over the blocks of a text hands
+the true one from block to block, and the recursions then run inside all blocks
+at once. The cost per word is a dictionary lookup and some vector arithmetic,
+however long a text is.
 """
 
 from __future__ import annotations
@@ -31,15 +33,23 @@ def hashed(names: Sequence[str]) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for x in names]
 
 
-def forward_backward(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lifted(init: np.ndarray, blocks: int) -> np.ndarray:
+    return np.broadcast_to(init, (blocks, init.shape[-1]))
+
+
+def forward_backward(emit: np.ndarray, move: np.ndarray, init: np.ndarray, real: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(marginals, expected moves, log of the partition sums) of blocks.
 
-    emit: (blocks, words, states) log potentials; real: (blocks, words), false
-    for padding, which only stands at the end.
+    emit: (blocks, words, states) log potentials; init: log potentials of the
+    first word's state, for all blocks or each; real: (blocks, words), false
+    for padding, which only stands at the end; after: what follows a block's
+    last word, for each of its states.
     """
     blocks, length, states = emit.shape
     top = emit.max(2, keepdims=True)
-    e, m, f = np.exp(emit - top), np.exp(move), np.exp(first)
+    init = _lifted(init, blocks)
+    most = init.max(1, keepdims=True)
+    e, m, f = np.exp(emit - top), np.exp(move), np.exp(init - most)
     alpha, scale = np.empty_like(e), np.ones((blocks, length), e.dtype)
     for t in range(length):
         a = (f if t == 0 else alpha[:, t - 1] @ m) * e[:, t]
@@ -50,22 +60,88 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real
             a = np.where(real[:, t, None], a, alpha[:, t - 1])
         alpha[:, t], scale[:, t] = a, s
     beta = np.ones_like(e)
+    if after is not None:
+        beta[:, -1] = after
     moves = np.zeros((states, states), e.dtype)
     for t in range(length - 2, -1, -1):
-        after = e[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+        to = e[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
         on = real[:, t + 1, None]
-        moves += (np.where(on, alpha[:, t], 0).T @ np.where(on, after, 0)) * m
-        beta[:, t] = np.where(on, after @ m.T, beta[:, t + 1])
+        moves += (np.where(on, alpha[:, t], 0).T @ np.where(on, to, 0)) * m
+        beta[:, t] = np.where(on, to @ m.T, beta[:, t + 1])
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
-    logz = np.where(real, np.log(scale) + top[:, :, 0], 0).sum(1)
+    logz = np.where(real, np.log(scale) + top[:, :, 0], 0).sum(1) + most[:, 0]
     return post, moves, logz
 
 
-def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """The likeliest states of each block; padding gets state 0."""
+def _turns(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first block of each text with blocks, longest first; how many texts have
+    a block with each number)."""
+    heads = np.cumsum(counts) - counts
+    order = np.argsort(-counts, kind="stable")
+    sizes = counts[order]
+    return heads[order], np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
+
+
+def marginals(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Marginals of the words of whole texts, which have ``counts`` blocks each."""
+    blocks, length, states = emit.shape
+    e, m = np.exp(emit - emit.max(2, keepdims=True)), np.exp(move)
+    # what a block does: a row for each state before it, and one for the start
+    through = np.concatenate([m, np.exp(first)[None]])[None] * e[:, 0, None, :]
+    for t in range(1, length):
+        on = real[:, t, None, None]
+        through = np.where(on, (through @ m) * e[:, t, None, :], through)
+        through /= through.sum((1, 2), keepdims=True)
+    heads, many = _turns(counts)
+    before, after = np.empty((blocks, states), e.dtype), np.ones((blocks, states), e.dtype)
+    state = None
+    for k, n in enumerate(many.tolist()):
+        at = heads[:n] + k
+        if k:
+            before[at] = state[:n]
+            state = np.einsum("ns,nst->nt", state[:n], through[at, :states])
+        else:
+            state = through[at, states].copy()
+        state /= state.sum(1, keepdims=True)
+    for k in range(len(many) - 1, 0, -1):
+        at = heads[: many[k]] + k
+        back = np.einsum("nst,nt->ns", through[at, :states], after[at])
+        after[at - 1] = back / back.sum(1, keepdims=True)
+    start = np.zeros(blocks, bool)
+    start[heads[: many[0]] if len(many) else heads[:0]] = True
+    with np.errstate(divide="ignore"):
+        init = np.where(start[:, None], first, np.log(np.maximum(np.where(start[:, None], 1, before) @ m, 1e-300)))
+    return forward_backward(emit, move, init.astype(emit.dtype), real, after)[0]
+
+
+def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The likeliest states of whole texts, which have ``counts`` blocks each
+    (one, if None); padding gets state 0."""
     blocks, length, states = emit.shape
-    best, back = emit[:, 0] + first, np.empty((blocks, length, states), np.int8)
+    counts = np.ones(blocks, np.int64) if counts is None else counts
+    heads, many = _turns(counts)
+    entered = np.zeros((blocks, states), emit.dtype)  # best scores of the word before
+    if len(many) > 1:
+        through = np.concatenate([move, first[None]])[None] + emit[:, 0, None, :]
+        for t in range(1, length):
+            to = (through[:, :, :, None] + move).max(2) + emit[:, t, None, :]
+            through = np.where(real[:, t, None, None], to, through)
+        state = None
+        for k, n in enumerate(many.tolist()):
+            at = heads[:n] + k
+            if k:
+                entered[at] = state[:n]
+                state = (state[:n, :, None] + through[at, :states]).max(1)
+            else:
+                state = through[at, states].copy()
+            state -= state.max(1, keepdims=True)
+    start = np.zeros(blocks, bool)
+    start[heads[: many[0]] if len(many) else heads[:0]] = True
+    back = np.empty((blocks, length, states), np.int8)
+    options = entered[:, :, None] + move
+    back[:, 0] = options.argmax(1)
+    best = np.where(start[:, None], first, options.max(1)) + emit[:, 0]
     for t in range(1, length):
         options = best[:, :, None] + move
         back[:, t] = options.argmax(1)
@@ -74,9 +150,16 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndar
         if stay.any():
             now[stay], back[stay, t] = best[stay], np.arange(states, dtype=np.int8)
         best = now
+    # the state that each last state of a block came from, then the blocks of a text from the last
+    rows, came = np.arange(blocks), np.tile(np.arange(states), (blocks, 1))
+    for t in range(length - 1, -1, -1):
+        came = np.take_along_axis(back[:, t], came, 1)
+    end = best.argmax(1)
+    for k in range(len(many) - 1, 0, -1):
+        at = heads[: many[k]] + k
+        end[at - 1] = came[at, end[at]]
     path = np.empty((blocks, length), np.int8)
-    path[:, -1] = best.argmax(1)
-    rows = np.arange(blocks)
+    path[:, -1] = end
     for t in range(length - 1, 0, -1):
         path[:, t - 1] = back[rows, t, path[:, t]]
     path[~real] = 0
@@ -130,82 +213,91 @@ class Chain:
             self.table = np.concatenate([self.table, self._rows(new)])
         return ids
 
-    def blocks(self, texts: list[list[str]], notes: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(emissions, real, number of blocks of each text) of tokenised texts."""
-        claim(self)
-        if len(self.index) > TABLE:
-            self.forget()
-        sizes = np.array([len(x) for x in texts])
+    @staticmethod
+    def layout(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, words before, words after, real, blocks of each text), a row
+        a block; 0 stands for no word. ``ids`` are those of texts of ``sizes``."""
         counts = -(-sizes // BLOCK)
         flat = np.zeros(int(counts.sum()) * BLOCK + 2, np.int32)  # a blank word before and after
-        at = 1 + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) * BLOCK
-        ids = self.ids([w for x in texts for w in x])
-        starts = np.repeat(at - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        where = starts + np.arange(len(ids))
+        at = 1 + (np.cumsum(counts) - counts).astype(np.int64) * BLOCK
+        where = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
         flat[where] = ids
         real = np.zeros(len(flat) - 2, bool)
         real[where - 1] = True
         before, after = flat[:-2].copy(), flat[2:].copy()
         before[at[sizes > 0] - 1] = 0  # the first word of a text has none before it
+        after[at[sizes > 0] - 2 + sizes[sizes > 0]] = 0
+        return *(x.reshape(-1, BLOCK) for x in (flat[1:-1], before, after, real)), counts
+
+    def blocks(self, texts: list[list[str]], notes: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(emissions, real, number of blocks of each text) of tokenised texts."""
+        claim(self)
+        if len(self.index) > TABLE:
+            self.forget()
+        sizes = np.array([len(x) for x in texts], np.int64)
+        own, before, after, real, counts = self.layout(sizes, self.ids([w for x in texts for w in x]))
         k = self.states
-        emit = self.table[flat[1:-1], :k] + self.table[before, k : 2 * k] + self.table[after, 2 * k :]
-        emit = emit.reshape(-1, BLOCK, k)
+        emit = self.table[own, :k] + self.table[before, k : 2 * k] + self.table[after, 2 * k :]
         if notes is not None:
-            own = np.array([self.notes[n].sum(0) for n in notes], np.float32).reshape(-1, k)
-            emit += np.repeat(own, counts, axis=0)[:, None]
-        return emit, real.reshape(-1, BLOCK), counts
-
-    def fit(self, words: np.ndarray, labels: np.ndarray, notes: list[list[int]] | None = None, rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Chain:
-        """Likelihood ascent with Adam over all blocks at once.
-
-        words: (blocks, BLOCK + 2) strings, the first and the last column being
-        neighbours only, '' where there is none; labels: (blocks, BLOCK), -1
-        for padding.
-        """
-        k, real = self.states, labels >= 0
-        vocab, inverse = np.unique(words.astype(str), return_inverse=True)
-        inverse = inverse.reshape(words.shape)
-        own = [self.features(w) if w else [] for w in vocab.tolist()]
-        wide = np.full((len(own), max(1, *map(len, own))), FEATURES)
-        for i, x in enumerate(own):
-            wide[i, : len(x)] = x
-        roles = (inverse[:, 1:-1], inverse[:, :-2], inverse[:, 2:])
-        gold = np.eye(k, dtype=np.float32)[np.where(real, labels, 0)] * real[:, :, None]
-        both = real[:, 1:]
-        gold_moves = np.zeros((k, k), np.float32)
-        np.add.at(gold_moves, (np.where(both, labels[:, :-1], 0), np.where(both, labels[:, 1:], 0)), both.astype(np.float32))
-        noted = np.zeros((len(labels), len(self.notes)), np.float32)
+            noted = np.array([self.notes[n].sum(0) for n in notes], np.float32).reshape(-1, k)
+            emit += np.repeat(noted, counts, axis=0)[:, None]
+        return emit, real, counts
+
+    def fit(self, texts: list[list[str]], tags: list[list[int]], notes: list[list[int]] | None = None, rounds: int = 40, passes: int = 2, rate: float = 0.25, decay: float = 1e-3, seed: int = 0) -> Chain:
+        """Likelihood ascent with Adam on all blocks of tagged texts, each of
+        them in ``passes`` of the ``rounds`` at least; blocks with a tag, which
+        are few, come as often as it takes to be half of a round. A block
+        follows the tag before it, so that moves into it are learnt as those
+        inside."""
+        k, index = self.states, Index()
+        sizes = np.array([len(x) for x in texts], np.int64)
+        ids = np.fromiter((index[w] for x in texts for w in x), np.int32, int(sizes.sum()))
+        *roles, real, counts = self.layout(sizes, ids)
+        if not len(real):
+            return self
+        labels = np.zeros(real.shape, np.int8)
+        labels[real] = np.fromiter((t for x in tags for t in x), np.int8, len(ids))
+        before = np.concatenate([[-1], labels[:-1, -1]]).astype(np.int64)
+        before[(np.cumsum(counts) - counts)[counts > 0]] = -1  # the first of a text
+        noted = np.zeros((len(texts), len(self.notes)), np.float32)
         for i, x in enumerate(notes or []):
             noted[i, x] = 1
+        noted = np.repeat(noted, counts, axis=0)
+        wide = np.full((len(index), WIDEST), FEATURES)
+        for i, w in enumerate(index):
+            own = self.features(w) if i else []
+            wide[i, : len(own)] = own
         params = [self.words, self.notes, self.move, self.first]
         means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        rng, share = np.random.default_rng(seed), max(1, rounds // passes)
+        tagged = labels.any(1)
+        sides = [rng.permutation(np.flatnonzero(tagged)), rng.permutation(np.flatnonzero(~tagged))]
+        shares = [min(share, max(1, round(len(x) * share / max(1, len(real) - len(x))))) for x in sides]
         for step in range(1, rounds + 1):
-            table = self.words[:, wide].sum(2)
-            emit = sum(table[r][x] for r, x in enumerate(roles)) + (noted @ self.notes)[:, None]
-            post, moves, _ = forward_backward(emit, self.move, self.first, real)
-            miss = gold - post * real[:, :, None]
+            some = np.sort(np.concatenate([x[step % n :: n] for x, n in zip(sides, shares, strict=True)]))
+            if not len(some):
+                continue
+            on, own, head = real[some], labels[some].astype(np.int64), before[some]
+            seen, parts = np.unique(np.concatenate([r[some].ravel() for r in roles]), return_inverse=True)
+            parts = parts.reshape(len(roles), len(some), BLOCK)
+            table = self.words[:, wide[seen]].sum(2)
+            emit = sum(table[r][x] for r, x in enumerate(parts)) + (noted[some] @ self.notes)[:, None]
+            init = np.where(head[:, None] < 0, self.first, self.move[head])
+            post, moves, _ = forward_backward(emit, self.move, init, on)
+            miss = np.eye(k, dtype=np.float32)[own] * on[:, :, None] - post * on[:, :, None]
+            both, gold = on[:, 1:], np.zeros((k, k), np.float32)
+            np.add.at(gold, (own[:, :-1][both], own[:, 1:][both]), 1)
+            np.add.at(gold, head[head >= 0], miss[head >= 0, 0])  # moves into a block
             grad = np.zeros_like(self.words)
-            for r, x in enumerate(roles):
-                by_word = np.stack([np.bincount(x.ravel(), miss[:, :, s].ravel(), len(vocab)) for s in range(k)], 1)
+            for r, x in enumerate(parts):
+                by_word = np.stack([np.bincount(x.ravel(), miss[:, :, s].ravel(), len(seen)) for s in range(k)], 1)
                 for state in range(k):
-                    grad[r, :, state] = np.bincount(wide.ravel(), np.repeat(by_word[:, state], wide.shape[1]), FEATURES + 1)
-            grads = [grad, noted.T @ miss.sum(1), gold_moves - moves, miss[:, 0].sum(0)]
+                    grad[r, :, state] = np.bincount(wide[seen].ravel(), np.repeat(by_word[:, state], WIDEST), FEATURES + 1)
+            grads = [grad, noted[some].T @ miss.sum(1), gold - moves, miss[head < 0, 0].sum(0)]
             for i, (p, g) in enumerate(zip(params, grads, strict=True)):
-                g = g / len(labels) - decay * p / 10
+                g = g / len(some) - decay * p / 10
                 means[i] += 0.1 * (g - means[i])
                 squares[i] += 0.01 * (g * g - squares[i])
                 p += rate * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.99**step)) + 1e-6)
             self.words[:, FEATURES] = 0
         return self
-
-
-def cut(words: list[str], labels: list[int]) -> tuple[list[list[str]], list[list[int]]]:
-    """Training blocks of a labelled text, as :meth:`Chain.fit` takes them."""
-    rows, tags = [], []
-    for at in range(0, len(words), BLOCK):
-        part = words[at : at + BLOCK]
-        pad = BLOCK - len(part)
-        after = words[at + BLOCK] if at + BLOCK < len(words) else ""
-        rows.append([words[at - 1] if at else "", *part, *([after] if not pad else []), *[""] * (pad + (1 if pad else 0))])
-        tags.append([*labels[at : at + BLOCK], *[-1] * pad])
-    return rows, tags

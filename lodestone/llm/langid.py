@@ -183,8 +183,9 @@ def fold(doc_id: Column, folds: int = 4, held: int = 2) -> Column:
 
 def learn(docs: DataFrame) -> Model:
     """Document frequencies over all training rows, the classifier over the
-    bounded sample of them. Rows of the held-out fold, of null text or of null
-    lang teach nothing."""
+    bounded sample of them; of rows that repeat an id, the least of language and
+    text is in it. Rows of the held-out fold, of null text or of null lang teach
+    nothing; without any, every text is ``und``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(~fold(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -212,7 +213,8 @@ def learn(docs: DataFrame) -> Model:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(drawn("doc_id"), "doc_id"))
     picked = some.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
     picked = staged(picked.orderBy("place", "lang", "doc_id").limit(SAMPLE).select("doc_id").distinct(), "picked")
-    sample = rows.join(F.broadcast(picked), "doc_id").limit(2 * SAMPLE).collect()
+    # of rows that repeat an id, the least: at most SAMPLE
+    sample = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("of")).select("doc_id", "of.*").collect()
     sample = sorted(sample, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id or 0, r.lang, r.text))
     return train([r.text for r in sample], [r.lang for r in sample], idf)
 
@@ -220,7 +222,9 @@ def learn(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, if None) within the struct
     ``doc``, with lang_pred and score, for every row. Null text counts as
-    empty: ``und``, 0. A text is judged alone, so copies are judged alike."""
+    empty: ``und``, 0. A text is judged alone and whole, so copies are judged
+    alike; of equally likely languages the first by name is taken; an empty
+    table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,8 +32,6 @@ LEAST_VALUE = 12
 #: The chain learns from at most so many documents with a span and without,
 #: those whose ids have the lowest hashes.
 SAMPLE = (1000, 500)
-#: Blocks of words that it learns from at most, with a span and without.
-BLOCKS = 1200
 OUTSIDE, BEGIN, INSIDE = range(3)
 
 
@@ -126,27 +124,20 @@ def tags(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[
 
 
 def train(texts: list[str], seed: int = 0) -> crf.Chain:
-    sides: tuple[list, list] = ([], [])
-    for text in texts:
-        words, states = tags(text, base_spans(text))
-        rows, labels = crf.cut(words, states)
-        for r, t in zip(rows, labels, strict=True):
-            sides[any(x > 0 for x in t)].append((r, t, notes(text)))
-    rng, picked = np.random.default_rng(seed), []
-    for side in sides:
-        picked += [side[i] for i in np.sort(rng.permutation(len(side))[:BLOCKS])]
+    tagged = [tags(text, base_spans(text)) for text in texts]
     chain = crf.Chain(3, features, 4)
     chain.first[INSIDE] = chain.move[OUTSIDE, INSIDE] = -8.0  # nothing is inside that did not begin
-    if sides[1]:
-        rows, labels, own = map(list, zip(*picked, strict=True))
-        chain.fit(np.array(rows), np.array(labels), own, rounds=40)
+    if any(any(t) for _, t in tagged):
+        chain.fit([w for w, _ in tagged], [t for _, t in tagged], [notes(t) for t in texts], seed=seed)
     else:
         chain.first[:] = chain.move[:, :] = [0, -30, -30]
     return chain
 
 
 def learn(docs: DataFrame) -> crf.Chain:
-    """A chain from a bounded sample, half of it rows that hold a pattern."""
+    """A chain from a bounded sample, two thirds of it rows that hold a pattern;
+    of rows that repeat an id the least text counts. No rows teach nothing, and
+    the chain finds nothing."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # the single runs are cheap to look for; assignments mostly hold one
@@ -154,7 +145,7 @@ def learn(docs: DataFrame) -> crf.Chain:
     narrow = staged(rows.select("doc_id", marked), "marked")
     ids = [lowest(narrow.filter(on), "doc_id", n).select("doc_id") for on, n in zip((F.col("marked"), ~F.col("marked")), SAMPLE, strict=True)]
     picked = staged(ids[0].unionAll(ids[1]).distinct(), "picked")  # at most sum(SAMPLE) rows
-    texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").limit(2 * sum(SAMPLE)).collect()
+    texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # at most sum(SAMPLE)
     return train(sorted(r.text for r in texts))
 
 
@@ -190,8 +181,9 @@ def scan(docs: DataFrame, chain: crf.Chain) -> DataFrame:
     """doc_id and spans (array of start, end, kind) of every row, code points,
     end exclusive, by start, then kind. Null counts as the empty text, which
     has no spans; what only the chain finds has the kind 'chain' and overlaps
-    none of the patterns' spans, which are taken out of a chain's span. Other
-    columns are not read."""
+    none of the patterns' spans, which are taken out of a chain's span. The
+    chain runs over the whole of a text, however long; rows that repeat give
+    their spans each; an empty table gives no rows. Other columns are not read."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +192,7 @@ def scan(docs: DataFrame, chain: crf.Chain) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             words = [WORD_RE.findall(t) for t in texts]
             emit, real, counts = own.blocks(words, [notes(t) for t in texts])
-            path = crf.viterbi(emit, own.move, own.first, real) if len(emit) else np.zeros((0, crf.BLOCK), np.int8)
+            path = crf.viterbi(emit, own.move, own.first, real, counts) if len(emit) else np.zeros((0, crf.BLOCK), np.int8)
             out, at = [], 0
             for text, n in zip(texts, counts.tolist(), strict=True):
                 spans, states = base_spans(text), path[at : at + n].ravel()
@@ -240,7 +232,7 @@ def redact(docs: DataFrame, chain: crf.Chain) -> DataFrame:
             given = batch.column("text").to_pylist()
             texts = [t or "" for t in given]
             emit, real, counts = own.blocks([WORD_RE.findall(t) for t in texts], [notes(t) for t in texts])
-            path = crf.viterbi(emit, own.move, own.first, real) if len(emit) else np.zeros((0, crf.BLOCK), np.int8)
+            path = crf.viterbi(emit, own.move, own.first, real, counts) if len(emit) else np.zeros((0, crf.BLOCK), np.int8)
             at, changed = 0, {}
             for i, (text, n) in enumerate(zip(texts, counts.tolist(), strict=True)):
                 spans, states = [(a, b) for a, b, _ in base_spans(text)], path[at : at + n].ravel()

@@ -26,8 +26,6 @@ from .words import WORD_RE, slices
 #: The classifier learns from at most so many documents of each label, those
 #: whose ids have the lowest hashes.
 SAMPLE = {1: 1200, 0: 2400}
-#: Blocks that the chain learns from at most, with a toxic token and without.
-BLOCKS = 1500
 #: Lengths of word beginnings that can explain a label, as whole words can.
 STEMS = (4, 5, 6)
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|~`_-/\\=+^@"
@@ -79,7 +77,7 @@ def explain(bags: list[set[str]], toxic: list[bool], least: float = 0.01, purity
 
 def summary(post: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(log odds of the most toxic word, log of the expected number of toxic
-    words) of each text, from the marginals of its blocks."""
+    words) of each text, from the marginals of its words."""
     peak, number = np.zeros(len(counts)), np.zeros(len(counts))
     if len(post):
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -97,18 +95,13 @@ class Model:
         emit, real, counts = self.chain.blocks(texts)
         if not len(emit):
             return np.zeros((0, crf.BLOCK)), counts
-        post = forward(emit, self.chain, real)
-        return post * real, counts
+        return crf.marginals(emit, self.chain.move, self.chain.first, real, counts)[:, :, 1] * real, counts
 
     def score(self, post: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = summary(post, counts)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -30, 30)))
 
 
-def forward(emit: np.ndarray, chain: crf.Chain, real: np.ndarray) -> np.ndarray:
-    return crf.forward_backward(emit, chain.move, chain.first, real)[0][:, :, 1]
-
-
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> np.ndarray:
     """Weights of a logistic regression by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -124,22 +117,9 @@ def train(texts: list[str], toxic: list[bool], seed: int = 0) -> Model:
     words = [WORD_RE.findall(t or "") for t in texts]
     bags = [{s for w in set(x) for s in signs(w)} for x in words]
     lexicon = explain(bags, toxic)
-    hot, cold = ([], []), ([], [])
-    for x, bad in zip(words, toxic, strict=True):
-        rows, tags = crf.cut(x, [int(bad and not lexicon.isdisjoint(signs(w))) for w in x])
-        for r, t in zip(rows, tags, strict=True):
-            side = hot if 1 in t else cold
-            side[0].append(r)
-            side[1].append(t)
-    rng = np.random.default_rng(seed)
-    rows, tags = [], []
-    for side in (hot, cold):
-        pick = np.sort(rng.permutation(len(side[0]))[:BLOCKS])
-        rows += [side[0][i] for i in pick]
-        tags += [side[1][i] for i in pick]
+    hot = {w for x, bad in zip(words, toxic, strict=True) if bad for w in set(x) if not lexicon.isdisjoint(signs(w))}
     chain = crf.Chain(2, features)
-    if rows:
-        chain.fit(np.array(rows), np.array(tags), rounds=40)
+    chain.fit(words, [[int(bad and w in hot) for w in x] for x, bad in zip(words, toxic, strict=True)], seed=seed)
     model = Model(chain, np.array([0.0, 0.0, -2.0]))
     if len(set(toxic)) == 2:
         found = [summary(*model.marginals(words[i : i + 200])) for i in range(0, len(words), 200)]
@@ -149,19 +129,24 @@ def train(texts: list[str], toxic: list[bool], seed: int = 0) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the bounded sample of labelled rows outside the held-out
-    fold. Without rows of both labels it finds nothing toxic."""
+    fold. Without rows of both labels it finds nothing toxic. Of rows that
+    repeat an id the least text counts, and an id labelled both ways counts as
+    both."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     parts = [lowest(known.filter(F.col("toxic") == t), "doc_id", n) for t, n in SAMPLE.items()]
     picked = staged(parts[0].unionAll(parts[1]), "picked")  # at most sum(SAMPLE) rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").limit(2 * sum(SAMPLE.values())).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text or "", r.toxic))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # at most sum(SAMPLE)
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic))
     return train([r.text for r in rows], [bool(r.toxic) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and spans ('start:end,...' in code points) of
     every row. Null and empty texts have no words and get the score of a text
-    in which nothing is found; copies score alike; other columns are not read."""
+    in which nothing is found; the chain runs over the whole of a text, however
+    long; copies score alike; an empty table gives no rows; other columns are
+    not read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

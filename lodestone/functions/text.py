@@ -84,6 +84,23 @@ def stemmed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, stem(F.col(f"`{column}`")))
 
 
+def stems(words: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms of words(term), persisted: filters and
+    semi-joins on the stem would else be pushed down to every single word, with
+    the stemming in them. No stem is empty, for words of two letters or more.
+    They are few, so that adaptive execution would leave the costly part to one
+    task: hence the explicit number."""
+    spark = words.sparkSession
+    terms = words.select("term").distinct().repartition(spark.sparkContext.defaultParallelism)
+    return terms.withColumn("stem", F.coalesce(stem(F.col("term")), F.lit(""))).persist()
+
+
+def exploded_words(docs: DataFrame, key: str, text: str, stop: bool = True, least: int = 2) -> DataFrame:
+    """(key, term) of every word that :func:`words` has, a row each."""
+    rows = docs.select(key, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term")).filter(F.length("term") >= least)
+    return rows.filter(~F.col("term").isin(STOPWORDS)) if stop else rows
+
+
 def words(text: Column, stop: bool = True, least: int = 2) -> Column:
     """Lower-case runs of a-z and 0-9 of at least ``least`` letters, in order."""
     parts = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stemmed, words
+from ..functions.text import exploded_words, stems
 
 K1, B = 1.5, 0.75
 
@@ -30,20 +30,23 @@ class Index:
 
 
 def frequencies(docs: DataFrame, key: str, text: str, stop: bool = True, stem: bool = True) -> DataFrame:
-    """(key, term, tf). Words are counted per document before they are stemmed,
-    so the long CASE runs once for each distinct word of a document."""
-    counted = docs.select(key, F.explode(words(F.col(text), stop)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Words are counted per document first; each distinct one
+    is stemmed once and its stem joined back."""
+    rows = exploded_words(docs, key, text, stop)
+    counted = rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
     if not stem:
         return counted
-    return stemmed(counted, "term").filter("term <> ''").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    stemmed = counted.join(stems(rows), "term")
+    return stemmed.groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def build(docs: DataFrame, stop: bool = True, stem: bool = True) -> Index:
     """Index of docs(doc_id, content, collection); documents without a token
     are still counted."""
     postings = frequencies(docs, "doc_id", "content", stop, stem)
-    lengths = docs.select("doc_id", "collection", F.size(words(F.col("content"), stop)).cast("long").alias("token_count"))
-    return Index(postings.select("term", "doc_id", "tf"), lengths.select("doc_id", F.when(F.col("token_count") < 0, 0).otherwise(F.col("token_count")).alias("token_count"), "collection"))
+    counted = exploded_words(docs, "doc_id", "content", stop).groupBy("doc_id").agg(F.count("*").alias("token_count"))
+    lengths = docs.select("doc_id", "collection").join(counted, "doc_id", "left")
+    return Index(postings.select("term", "doc_id", "tf"), lengths.select("doc_id", F.coalesce("token_count", F.lit(0)).alias("token_count"), "collection"))
 
 
 def add(index: Index, docs: DataFrame, **how) -> Index:
@@ -76,7 +79,8 @@ def document_frequencies(index: Index) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int = 10, collection: str | None = None, min_score: float = 0.0, k1: float = K1, b: float = B, stop: bool = True, stem: bool = True) -> DataFrame:
     """(query_id, rank, doc_id, score, matched_terms) for queries(query_id,
     text): the k best documents of each query with a score of at least
-    ``min_score``.
+    ``min_score``. The postings of the queries' terms are read twice, for the
+    documents of a term and for the scores, and therefore persisted.
 
     A query's repeated terms count once. The statistics stay those of the whole
     index when a collection limits the documents. Scores rank to 6 places and
@@ -84,10 +88,11 @@ def search(index: Index, queries: DataFrame, k: int = 10, collection: str | None
     """
     terms = frequencies(queries, "query_id", "text", stop, stem).select("query_id", "term")
     wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
+    hits = index.postings.join(wanted, "term", "left_semi").persist()
     counted = hits.groupBy("term").agg(F.count("*").alias("df"))
-    total = index.docs.agg(F.count("*").alias("n"), F.avg("token_count").alias("avgdl"))  # one row
-    docs = index.docs.crossJoin(F.broadcast(total))
+    lengths = index.docs.persist()
+    total = lengths.agg(F.count("*").alias("n"), F.avg("token_count").alias("avgdl"))  # one row
+    docs = lengths.crossJoin(F.broadcast(total))
     if collection is not None:
         docs = docs.filter(F.col("collection") == collection)
     length = F.when(F.col("avgdl") > 0, F.col("token_count") / F.col("avgdl")).otherwise(0.0)

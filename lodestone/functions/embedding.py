@@ -64,6 +64,33 @@ def embedded(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]]
     return keyed.join(vectors, "key", "left").withColumn("token_count", count).drop("__text")
 
 
+def batch(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], **how) -> DataFrame:
+    """:func:`embedded` for a batch, which must not be empty."""
+    if rows.isEmpty():
+        raise ValueError("a batch holds one text at least")
+    return embedded(rows, text, make, **how)
+
+
+def batch_totals(found: DataFrame) -> DataFrame:
+    """total_texts, total_tokens and cache_hits, texts that came before in the
+    batch, of embedded rows."""
+    return found.agg(F.count("*").alias("total_texts"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"), (F.count("*") - F.count_distinct("key")).alias("cache_hits"))
+
+
+def similar(rows: DataFrame, first: str, second: str, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """``rows`` with the similarity of two texts, to 6 places, and its band. All
+    texts are embedded in one go, equal ones once."""
+    from ..operators.vectors import cosine, interpreted
+
+    keys = [cache_key(trimmed(F.col(c)), "mock", "mock-embed") for c in (first, second)]
+    texts = rows.select(F.explode(F.array(first, second)).alias("__each"))
+    vectors = embedded(texts, "__each", make).groupBy("key").agg(F.first("embedding").alias("embedding"))
+    sides = rows.withColumn("__a", keys[0]).withColumn("__b", keys[1])
+    sides = sides.join(vectors.toDF("__a", "__x"), "__a", "left").join(vectors.toDF("__b", "__y"), "__b", "left")
+    found = sides.withColumn("similarity", F.round(cosine(F.col("__x"), F.col("__y")), 6))
+    return found.withColumn("interpretation", interpreted(F.col("similarity"))).drop("__a", "__b", "__x", "__y")
+
+
 def cache_use(requests: DataFrame, order: str, key: str) -> DataFrame:
     """size, hits, misses and hit_rate of a cache that never had to evict: the
     first request of a key misses, later ones hit."""
@@ -73,6 +100,14 @@ def cache_use(requests: DataFrame, order: str, key: str) -> DataFrame:
     return counted.withColumn("hit_rate", F.when(total == 0, 0.0).otherwise(F.round(F.try_divide(F.col("hits"), total), 4)))
 
 
+def evicted(requests: DataFrame, order: str, key: str, size: int) -> DataFrame:
+    """What a first-in-first-out cache of ``size`` keys has dropped at the end,
+    if each key is set once, at its first request: all but the last ones."""
+    first = requests.groupBy(key).agg(F.min(order).alias("set_at"))
+    last = first.orderBy(F.desc("set_at"), F.desc(key)).limit(size)  # tasks keep ``size`` rows each
+    return first.join(F.broadcast(last.select(key)) if size <= 100_000 else last.select(key), key, "left_anti")
+
+
 def fifo(keys: list[str], size: int) -> tuple[int, int, list[str]]:
     """(hits, misses, what is left) of a first-in-first-out cache. Order
     decides, so this is for one bounded list; a key that is set again evicts

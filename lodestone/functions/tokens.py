@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,27 @@ def estimate(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.greatest(F.floor(F.length(text) / 4), F.lit(1))).otherwise(0).cast("long")
 
 
+def exact(text: Column, path: str | None) -> Column:
+    """Tokens by a vocabulary file of the tokenizers library; the estimate where
+    there is no file or no library."""
+    try:
+        from tokenizers import Tokenizer
+
+        Tokenizer.from_file(path)
+    except Exception:  # noqa: BLE001 - the library raises a bare Exception for a file it can't read
+        return estimate(text)
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in made.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+
+    return count(text)
+
+
 def models(spark) -> DataFrame:
     return spark.createDataFrame(MODELS, "model string, context_window long, input_price double, output_price double")
 

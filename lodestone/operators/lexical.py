@@ -69,6 +69,11 @@ def statistics(index: Index) -> DataFrame:
     return docs.crossJoin(F.broadcast(terms))  # one row each
 
 
+def collection_counts(index: Index) -> DataFrame:
+    """Documents and tokens of each collection."""
+    return index.docs.groupBy("collection").agg(F.count("*").alias("documents"), F.sum("token_count").alias("tokens"))
+
+
 def document_frequencies(index: Index) -> DataFrame:
     """(term, df, idf) of all terms."""
     total = index.docs.agg(F.count("*").alias("n"))

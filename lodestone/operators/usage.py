@@ -80,6 +80,16 @@ def logged(messages: DataFrame, model: Column) -> DataFrame:
     return rows.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.lit("mock").alias("provider"), model.alias("model"), "input_tokens", F.col("tokens").alias("output_tokens"))
 
 
+def cleared(log: DataFrame) -> DataFrame:
+    """The log without its records."""
+    return log.filter(F.lit(False))
+
+
+def delay(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
+    """Waiting time before a retry (0, 1, ...), without its random part."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
 def delays(attempts: int, base: float = 1.0, most: float = 30.0) -> list[float]:
     """Waiting times before each retry, without their random part."""
     return [min(base * 2**k, most) for k in range(attempts)]

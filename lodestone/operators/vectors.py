@@ -54,9 +54,9 @@ def search(rows: DataFrame, query: list[float], k: int = 10, collection=None, so
         raise ValueError("k is 1 to 100")
     if min_score is not None and not 0 <= min_score <= 1:
         raise ValueError("min_score is 0 to 1")
-    if collection is not None:
+    if collection not in (None, ""):  # an empty name is no condition
         rows = rows.filter(F.col("collection") == collection)
-    if source is not None:
+    if source:
         rows = rows.filter(F.col("source") == source)
     target = F.array(*[F.lit(float(x)) for x in query])
     same = F.size("embedding") == len(query)
@@ -65,6 +65,18 @@ def search(rows: DataFrame, query: list[float], k: int = 10, collection=None, so
     return near if min_score is None else near.filter(F.col("score") >= min_score)
 
 
+def created(rows: DataFrame, column: str = "created_at") -> DataFrame:
+    """``rows`` with the time of writing where none is given."""
+    now = F.current_timestamp()
+    return rows.withColumn(column, F.coalesce(F.col(column), now) if column in rows.columns else now)
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; of a key that both have, the second's value."""
+    kept = F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k))
+    return F.map_concat(kept, second)
+
+
 def collections(rows: DataFrame, created: str | None = None) -> DataFrame:
     """Documents, and first and last creation, of each collection."""
     more = [F.min(created).alias("first_created"), F.max(created).alias("last_created")] if created else []

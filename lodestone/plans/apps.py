@@ -66,7 +66,12 @@ def parsed(version):
 
 def embedded(spark, sf_dir):
     rows = E.embedded(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", lambda: E.stand_in(16))
-    return rows.select("item_id", "token_count", "key", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 9).alias("square"))
+    return rows.select("item_id", "token_count", "key", *[F.round(F.col("embedding")[k], 9).alias(f"value_{k}") for k in (0, 1, 15)])
+
+
+def text_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.reverse("text")).alias("other"))
+    return E.similar(rows, "text", "other", lambda: E.stand_in(16)).select("item_id", "similarity", "interpretation")
 
 
 QUERIES = {
@@ -81,10 +86,13 @@ QUERIES = {
     "chain_summarize_answer": lambda s, d: P.chained(asked(s, d), "summarize_then_answer").select("item_id", "summary", "answer_preview"),
     "context_by_language": lambda s, d: P.numbered_context(table(s, d, "benchmark").withColumn("group", F.col("item_id") % 4).withColumn("source", F.concat(F.lit("item"), F.col("item_id").cast("string"))), "group", "item_id", "source", "text"),
     "embed_mock": embedded,
+    "embed_batch_totals": lambda s, d: E.batch_totals(E.batch(table(s, d, "documents").select("doc_id", "text"), "text", lambda: E.stand_in(16))),
+    "text_similarity": text_pairs,
+    "cache_evicted": lambda s, d: E.evicted(table(s, d, "documents").withColumn("key", E.cache_key(X.trimmed(F.col("text")), "mock", "mock-embed")), "doc_id", "key", 100).select("key"),
     "cache_stats": lambda s, d: E.cache_use(table(s, d, "documents").withColumn("key", E.cache_key(X.trimmed(F.col("text")), "mock", "mock-embed")), "doc_id", "key"),
     "resume_parse": parsed(1),
     "resume_parse_inline": parsed(2),
-    "resume_contact": lambda s, d: R.contact(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "email", "phone", "location"),
+    "resume_contact": lambda s, d: R.contact(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "name", "email", "phone", "location"),
     "resume_sections": lambda s, d: R.sections(resumes(s), "id").select("id", "position", "section", "line"),
     "md_strip": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.without_markdown(F.col("text"))).alias("text_md5")),
     "unicode_norm": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.normalised(F.col("text"))).alias("text_md5")),
@@ -142,9 +150,18 @@ SQL = {
     "chain_summarize_answer": """WITH a AS (SELECT item_id, '[Mock] Response to: ' || substr('Summarize the following document in 3 sentences or fewer.' || chr(10) || 'Focus on the most important', 1, 80) AS summary, text FROM benchmark)
       SELECT item_id, summary, '[Mock] Response to: ' || substr('Context:' || chr(10) || summary || chr(10) || chr(10) || 'Question: ' || substr(text, 1, 60), 1, 80) AS answer_preview FROM a""",
     "context_by_language": "WITH n AS (SELECT item_id % 4 AS \"group\", item_id, text, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS i FROM benchmark) SELECT \"group\", string_agg('[' || i || '] Source: item' || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM n GROUP BY 1",
+    "embed_batch_totals": "SELECT count(*) AS total_texts, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS total_tokens, count(*) - count(DISTINCT trim(text)) AS cache_hits FROM documents",
+    "cache_evicted": "WITH f AS (SELECT sha256('mock:mock-embed:' || trim(text)) AS key, min(doc_id) AS since FROM documents GROUP BY 1) SELECT key FROM f WHERE key NOT IN (SELECT key FROM f ORDER BY since DESC LIMIT 100)",
     "cache_stats": "WITH k AS (SELECT count(*) AS n, count(DISTINCT trim(text)) AS size FROM documents) SELECT size, n - size AS hits, size AS misses, round((n - size) / n, 4) AS hit_rate FROM k",
-    "resume_contact": rf"SELECT doc_id, regexp_extract(text, '{R.EMAIL}', 0) AS email, trim(regexp_extract(text, '{R.PHONE}', 0), chr(10) || ' ') AS phone, trim(regexp_extract(text, '{R.LOCATION}', 0)) AS location FROM documents",
+    "resume_contact": rf"""SELECT doc_id, coalesce(list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:5],
+      lambda x: NOT regexp_matches(x, '{R.EMAIL}') AND NOT regexp_matches(x, '{R.PHONE}') AND NOT regexp_matches(x, '[0-9]') AND len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) <= 5)[1], '') AS name,
+      regexp_extract(text, '{R.EMAIL}', 0) AS email, trim(regexp_extract(text, '{R.PHONE}', 0), chr(10) || ' ') AS phone, trim(regexp_extract(text, '{R.LOCATION}', 0)) AS location FROM documents""",
     "unicode_norm": "SELECT doc_id, md5(nfc_normalize(regexp_replace(translate(text, '–—―−•‣▪●․·‧‘’“”\u00a0\uf0b7\u200b\u200c\u200d\ufeffâ', '----•••••••''''\"\" •'), '[\ue000-\uf8ff]', '', 'g'))) AS text_md5 FROM documents",
+    "md_strip": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+      '(?m)^#{1,6}\s+', '', 'g'), '\*{1,2}(.+?)\*{1,2}', '\1', 'g'), '_{1,2}(.+?)_{1,2}', '\1', 'g'), '\[(.+?)\]\(.+?\)', '\1', 'g'),
+      '(?m)^[-*_]{3,}\s*$', '', 'g'), '<[^>]+>', '', 'g'), '(?m)^[*\-+]\s+', '• ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents""",
+    "spacing_fix": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])([A-Z][a-z])', '\1 \2', 'g'),
+      '([,|•])(\S)', '\1 \2', 'g'), '[^\S\n]+', ' ', 'g'), '(?m)^\s+', '', 'g')) AS text_md5 FROM documents""",
     "text_previews": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview FROM documents",
     "rows_inserted": "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region",
     "rows_deleted": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",

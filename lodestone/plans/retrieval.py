@@ -76,6 +76,7 @@ QUERIES = {
     "bm25_postings": lambda s, d: L.build(docs(s, d)).postings,
     "bm25_idf": lambda s, d: L.document_frequencies(L.build(docs(s, d))),
     "corpus_stats": lambda s, d: L.statistics(L.build(docs(s, d))),
+    "corpus_collections": lambda s, d: L.collection_counts(L.build(docs(s, d))),
     "bm25_search": lambda s, d: L.search(L.build(docs(s, d)), asked(s, d)),
     "bm25_collection_search": lambda s, d: L.search(L.build(docs(s, d)), asked(s, d), k=5, collection="en", min_score=5.0),
     "bm25_removed": lambda s, d: L.statistics(L.remove(L.build(docs(s, d)), docs(s, d).filter("collection = 'de'").select("doc_id"))),
@@ -97,6 +98,7 @@ SQL = {
     "bm25_postings": INDEX + "SELECT term, doc_id, tf FROM postings",
     "bm25_idf": INDEX + "SELECT term, df, round(idf, 6) AS idf FROM counted",
     "corpus_stats": INDEX + "SELECT count(*) AS num_documents, round(avg(token_count), 2) AS avg_doc_length, sum(token_count)::BIGINT AS total_tokens, (SELECT count(DISTINCT term) FROM postings) AS num_terms FROM lengths",
+    "corpus_collections": INDEX + "SELECT collection, count(*) AS documents, sum(token_count)::BIGINT AS tokens FROM lengths GROUP BY 1",
     "bm25_search": search_sql(),
     "bm25_collection_search": search_sql("l.collection = 'en'", 5.0, 5),
     "bm25_removed": INDEX + "SELECT count(*) AS num_documents, round(avg(token_count), 2) AS avg_doc_length, sum(token_count)::BIGINT AS total_tokens, (SELECT count(DISTINCT term) FROM postings JOIN lengths USING (doc_id) WHERE collection <> 'de') AS num_terms FROM lengths WHERE collection <> 'de'",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..operators import chunking as C
 from ..operators import usage as U
+from ..scratch import staged
 from ..streaming import usage as S
 from ..tables import table
 
@@ -46,13 +47,27 @@ def streamed(spark, sf_dir):
 def streamed_log(spark, sf_dir):
     """The totals of usage_by_model from a stream over the log, which is
     written first: input tokens come from windows that streams do not have."""
-    from ..llm.scratch import staged
-
     rows = staged(log(spark, sf_dir), "log")
     stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     return S.drained(spark, U.by_model(stream), f"usage_{uuid.uuid4().hex}")
 
 
+def streamed_events(spark, sf_dir):
+    """Windows of the events as a stream over their files."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = S.drained(spark, S.windowed(stream), f"events_{uuid.uuid4().hex}")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value")
+
+
+def streamed_ring(spark, sf_dir):
+    """The last 50 requests of the log, as a stream holds them."""
+    rows = staged(log(spark, sf_dir).select("request_id", "provider"), "log")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    found = S.drained(spark, S.ring(stream, 50), f"ring_{uuid.uuid4().hex}", "update")
+    return found.select(F.col("key").alias("provider"), F.explode("request_ids").alias("request_id"))
+
+
 QUERIES = {
     "chunk_fixed": lambda s, d: C.chunked(docs(s, d)),
     "chunk_fixed_summary": lambda s, d: C.summary(C.chunked(docs(s, d)).withColumn("strategy", F.lit("fixed"))),
@@ -73,7 +88,8 @@ QUERIES = {
     "usage_capped": lambda s, d: U.retained(log(s, d), 50).select("request_id", "model"),
     "stream_usage_summary": streamed,
     "stream_usage_by_model": streamed_log,
-    "stream_event_windows": lambda s, d: S.windowed(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value"),
+    "stream_event_windows": streamed_events,
+    "stream_usage_ring": streamed_ring,
 }
 
 _N = "length(text)"
@@ -114,5 +130,17 @@ SQL = {
     "usage_recent": CALLS.format(most=1000) + "SELECT request_id, model, output_tokens, CASE WHEN failed THEN 'error' ELSE 'end_turn' END AS stop_reason FROM kept ORDER BY request_id DESC LIMIT 20",
     "usage_capped": CALLS.format(most=50) + "SELECT request_id, model FROM kept",
     "stream_usage_summary": f"SELECT {_MODEL} AS model, count(*) AS requests, 0::BIGINT AS input_tokens, sum({_EST})::BIGINT AS output_tokens FROM conversations WHERE role = 'assistant' GROUP BY 1",
+    "stream_usage_by_model": CALLS.format(most=1) + "SELECT model, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(total_cost), 6) AS total_cost FROM log WHERE NOT failed GROUP BY 1",
+    "stream_usage_ring": "SELECT 'mock' AS provider, conv_id * 1000 + turn AS request_id FROM conversations WHERE role = 'assistant' ORDER BY 2 DESC LIMIT 50",
+    "chunk_token": r"""WITH RECURSIVE whole AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+      split AS (SELECT doc_id, regexp_extract_all(t, '\s*\S+') AS ts FROM whole),
+      parts AS (SELECT doc_id, ts, unnest(range(0, len(ts), 236)) AS a FROM split),
+      chunks AS (SELECT doc_id, (a // 236)::INT AS index, array_to_string(ts[a + 1:a + 256], '') AS text FROM parts),
+      walk AS (
+        SELECT doc_id, index, text, 0 AS start_char, greatest(0, length(text) - 20) AS next FROM chunks WHERE index = 0
+        UNION ALL
+        SELECT doc_id, index, text, next + greatest(p - 1, 0), greatest(next, next + greatest(p - 1, 0) + length(text) - 20)
+        FROM (SELECT c.doc_id, c.index, c.text, w.next, strpos(substr(t, w.next + 1), c.text) AS p FROM walk w JOIN chunks c ON c.doc_id = w.doc_id AND c.index = w.index + 1 JOIN whole ON whole.doc_id = c.doc_id))
+      SELECT doc_id, index, text, start_char::INT AS start_char, (start_char + length(text))::INT AS end_char, length(text)::INT AS char_count, (length(text) // 4)::INT AS token_estimate FROM walk""",
     "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
 }

@@ -132,7 +132,19 @@ parts AS (SELECT *, round(CASE WHEN len(ex) > 0 AND regexp_matches(r, '\\d+\\+?\
 done AS (SELECT *, round(least(greatest(ss * 0.6::DOUBLE + xs * 0.25::DOUBLE + es * 0.15::DOUBLE, 0), 100), 2) AS score FROM parts)
 """
 
+#: The stand-in's vectors of 16 values, in 128-bit arithmetic, for texts(id, t).
+GENERATED = "gen AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}::UHUGEINT, {c}::UHUGEINT)" for k, (a, c) in enumerate(zip(*(x.tolist() for x in E.affine(16)), strict=True))) + """) g(k, a, c)),
+raw AS (SELECT id, k, ((('0x' || right(sha256(t), 16))::UBIGINT::UHUGEINT * a + c) % 18446744073709551616::UHUGEINT)::DOUBLE / 18446744073709551616::DOUBLE * 2 - 1 AS v FROM texts, gen WHERE t <> ''),
+vectors AS (SELECT id, list(v / n ORDER BY k) AS e FROM raw JOIN (SELECT id, sqrt(sum(v * v)) AS n FROM raw GROUP BY id) USING (id) GROUP BY id)
+"""
+
 SQL = {
+    "embed_mock": "WITH texts AS (SELECT item_id AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM benchmark), " + GENERATED + """
+      SELECT id AS item_id, len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> ''))::BIGINT AS token_count, sha256('mock:mock-embed:' || t) AS key, round(e[1], 9) AS value_0, round(e[2], 9) AS value_1, round(e[16], 9) AS value_15
+      FROM texts LEFT JOIN vectors USING (id)""",
+    "text_similarity": "WITH texts AS (SELECT item_id * 2 AS id, text AS t FROM benchmark UNION ALL SELECT item_id * 2 + 1, CASE WHEN item_id % 3 = 0 THEN text ELSE reverse(text) END FROM benchmark), " + GENERATED + """,
+      near AS (SELECT b.item_id, round(list_inner_product(x.e, y.e), 6) AS similarity FROM benchmark b JOIN vectors x ON x.id = b.item_id * 2 JOIN vectors y ON y.id = b.item_id * 2 + 1)
+      SELECT item_id, similarity, CASE WHEN similarity >= 0.9 THEN 'very similar' WHEN similarity >= 0.75 THEN 'similar' WHEN similarity >= 0.5 THEN 'somewhat similar' WHEN similarity >= 0.25 THEN 'slightly similar' ELSE 'not similar' END AS interpretation FROM near""",
     "score_resumes": SCORED + """SELECT id, score, array_to_string(hit, ',') AS matched_skills, array_to_string(miss, ',') AS missing_skills,
       CASE WHEN score >= 80 THEN 'strong match' WHEN score >= 60 THEN 'good match' WHEN score >= 40 THEN 'partial match' ELSE 'weak match' END AS recommendation,
       substr(trim(resume), 1, 300) || CASE WHEN length(resume) > 300 THEN '...' ELSE '' END AS resume_snippet FROM done""",

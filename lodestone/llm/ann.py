@@ -1,5 +1,10 @@
 """Nearest neighbours by inner product, from a vantage-point tree per shard.
 
+Vectors are put into the cells of a few centres; a cell's rows make up one shard
+or, dealt by hash, several. A query searches its own cell first, and after that
+the cells only whose bound, its product with the centre plus its length times
+the cell's radius, reaches the k-th best score that it has.
+
 Within a shard the largest inner product becomes the smallest Euclidean
 distance: one more coordinate brings every vector to the length of the
 longest. Blocks of queries go down a tree together, nearer child first; a
@@ -19,6 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import lowest, staged
+
+#: A centre for so many times the root of the number of vectors.
+ROOTS = 1 / 16
 #: Vectors of a shard, of a leaf, and queries that go down a tree together.
 SHARD, LEAF, BLOCK = 8192, 128, 1024
 K, EVERY, FACTOR = 20, 20, 1.0
@@ -131,26 +140,62 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).filter(finite & F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows of each query.
+def nearest(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centre of each vector, its distance)."""
+    square = (block**2).sum(1)[:, None] - 2 * block @ centres.T + (centres**2).sum(1)
+    at = square.argmin(1)
+    return at, np.linalg.norm(block - centres[at], axis=1)
 
-    Queries are the rows whose vec_id is a multiple of ``every``, candidates
-    all rows but those with the query's vec_id. Vectors that are null, zero,
-    or hold null or a non-finite number take no part, and vectors of other
-    lengths are no candidates. A vec_id that is repeated is one query (its
-    least vector) and as many candidates; of those that tie, equal ids come in
-    any order, being equal. Fewer candidates than k are all returned.
 
-    Shards come from a hash of the id and hold about ``shard`` rows. A task
-    gets a shard's rows, then all queries in blocks: it never holds more than
-    its tree and a block.
-    """
-    rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard))
-    queries = rows.filter(F.col("id") % every == 0).groupBy("dim", "id").agg(F.min("vector").alias("vector"))
-    base = rows.select("dim", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
-    dealt = base.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "kind", "id")
+def _blocks(batch: pa.RecordBatch, dim: str, vector: str) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(rows, dim, their vectors) of each dim of a batch."""
+    dims = batch.column(dim).to_numpy()
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        yield rows, d, batch.column(vector).take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), d)
+
+
+def placed(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with their cell and the distance to its centre."""
+    held = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for at, d, block in _blocks(batch, "dim", "vector") if batch.num_rows else ():
+                cell[at], away[at] = nearest(block, held.value.get(d, np.zeros((1, d))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "dim", "vector")), pa.array(cell), pa.array(away)], ["id", "dim", "vector", "cell", "away"])
+
+    return rows.select("id", "dim", "vector").mapInArrow(run, "id long, dim int, vector array<double>, cell int, away double")
+
+
+def routed(queries: DataFrame, cells: dict[int, tuple[np.ndarray, ...]], factor: float) -> DataFrame:
+    """A row for each query and other cell that may hold one of its k nearest;
+    ``cells``: of each dim, numbers, centres and radii. kth: its score so far."""
+    held = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, d, block in _blocks(batch, "dim", "vector") if batch.num_rows else ():
+                numbers, centres, radii = held.value[d]
+                some = batch.take(pa.array(at))
+                length = np.linalg.norm(block, axis=1)
+                bound = block @ centres.T + length[:, None] * radii[None] / factor
+                slack = 1e-9 * (1 + np.abs(bound))
+                open_ = bound + slack >= some.column("kth").to_numpy()[:, None]
+                open_ &= numbers[None] != some.column("cell").to_numpy()[:, None]
+                i, j = np.nonzero(open_)
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(i)) for c in ("id", "dim", "vector")), pa.array(numbers[j].astype(np.int32))], ["id", "dim", "vector", "cell"])
+
+    return queries.select("id", "dim", "vector", "cell", "kth").mapInArrow(run, "id long, dim int, vector array<double>, cell int")
+
+
+def descended(base: DataFrame, asked: DataFrame, shards: DataFrame, tasks: int, k: int, factor: float) -> DataFrame:
+    """query_id, vec_id and score of the k nearest in each shard of the cells
+    that the rows of ``asked`` name. A task gets a shard's rows, then its
+    queries in blocks: it never holds more than its tree and a block."""
+    asked = asked.join(F.broadcast(shards), ["dim", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("dim", "cell", "part", F.lit(1).alias("kind"), "id", "vector")
+    dealt = base.unionByName(asked).repartition(tasks, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree = None, None
@@ -158,15 +203,16 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = F
         for batch in batches:
             if not batch.num_rows:
                 continue
-            dim, part, kind, ids = (batch.column(n).to_numpy() for n in range(4))
-            turn = np.flatnonzero((dim[1:] != dim[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            keys = np.stack([batch.column(n).to_numpy() for n in range(4)])
+            ids = batch.column(4).to_numpy()
+            turn = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             edges = [0, *turn.tolist(), len(ids)]
             for a, b in zip(edges, edges[1:], strict=False):
-                own = batch.column(4).slice(a, b - a)
-                block = own.flatten().to_numpy().reshape(b - a, int(dim[a]))
-                if at != (dim[a], part[a]):
-                    at, tree, held = (dim[a], part[a]), None, []
-                if kind[a] == 0:
+                own = batch.column(5).slice(a, b - a)
+                block = own.flatten().to_numpy().reshape(b - a, int(keys[0, a]))
+                if at != tuple(keys[:3, a]):
+                    at, tree, held = tuple(keys[:3, a]), None, []
+                if keys[3, a] == 0:
                     held.append((ids[a:b], block))
                     continue
                 if tree is None and held:
@@ -177,7 +223,42 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = F
                     real = found != LAST
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, real.sum(1))), pa.array(found[real]), pa.array(best[real])], ["query_id", "vec_id", "score"])
 
-    # of each shard's k nearest, the k nearest
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """Of each shard's k nearest, the k nearest."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, k: int = K, every: int = EVERY, factor: float = FACTOR, shard: int = SHARD) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest rows of each query.
+
+    Queries are the rows whose vec_id is a multiple of ``every``, candidates
+    all rows but those with the query's vec_id. Vectors that are null, zero,
+    or hold null or a non-finite number take no part, and vectors of other
+    lengths are no candidates. A vec_id that is repeated is one query (its
+    least vector) and as many candidates; of those that tie, equal ids come in
+    any order, being equal. Fewer candidates than k are all returned, and an
+    empty table gives no rows.
+    """
+    rows = usable(vectors)
+    count = rows.count()
+    picks = lowest(rows.select("id", "dim", "vector"), "id", max(1, round(count**0.5 * ROOTS))).collect()
+    centres = {d: np.array([r.vector for r in picks if r.dim == d]) for d in {r.dim for r in picks}}
+    cells = staged(placed(rows, centres), "cells")
+    known = cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("dim", "cell").collect()  # a row a cell
+    shards = cells.sparkSession.createDataFrame([(r.dim, r.cell, -(-r.n // shard)) for r in known], "dim int, cell int, parts int")
+    of = {d: [r for r in known if r.dim == d] for d in {r.dim for r in known}}
+    bounds = {d: (np.array([r.cell for r in rs]), centres.get(d, np.zeros((1, d)))[[r.cell for r in rs]], np.array([r.radius for r in rs])) for d, rs in of.items()}
+    tasks = max(1, sum(-(-r.n // shard) for r in known))
+
+    split = cells.join(F.broadcast(shards), ["dim", "cell"])
+    base = split.select("dim", "cell", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vector")
+    queries = cells.filter(F.col("id") % every == 0).groupBy("dim", "id").agg(F.min(F.struct("vector", "cell")).alias("own")).select("dim", "id", "own.vector", "own.cell")
+    near = staged(best(descended(base, queries, shards, tasks, k, factor), k), "near")
+    kth = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    open_ = queries.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    far = descended(base, routed(open_, bounds, factor), shards, tasks, k, factor)
+    return best(near.drop("rank").unionByName(far), k)

@@ -51,3 +51,23 @@ def test_relaxed_search_keeps_recall(factor):
     want = brute(rows, 10, 20)
     hits = sum(len({i for i, _ in want[q]} & set(f.tolist())) for q, f in zip(ids[::20].tolist(), found, strict=True))
     assert hits >= (1.0 if factor == 1 else 0.9) * 10 * len(found)
+
+
+def test_repeated_ids_are_one_query_and_as_many_candidates(spark):
+    rows = [(20, [2.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.5, 0.0]), (4, [0.25, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert got(ann.search(frame, k=3)) == {20: [(3, 1.0), (3, 1.0), (4, 0.5)]}
+
+
+def test_queries_pass_over_cells_that_are_too_far(spark):
+    """Cells far apart: a query goes to few of them, and loses nothing."""
+    rng = np.random.default_rng(9)
+    centres = 30 * rng.normal(size=(12, 6))
+    rows = [(i, np.float32(centres[i % 12] + 0.1 * rng.normal(size=6)).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    used = ann.usable(frame)
+    cells = ann.placed(used, {6: centres})
+    held = {6: (np.arange(12), centres, np.array([r.r for r in cells.groupBy("cell").agg(ann.F.max("away").alias("r")).orderBy("cell").collect()]))}
+    asked = cells.filter("id % 20 = 0").withColumn("kth", ann.F.aggregate("vector", ann.F.lit(0.0), lambda s, x: s + x * x) * 0.95)
+    assert ann.routed(asked, held, 1.0).count() < 0.35 * 11 * asked.count()
+    assert got(ann.search(frame, k=5, shard=40)) == brute(rows, 5, 20)

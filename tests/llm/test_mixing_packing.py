@@ -128,3 +128,11 @@ def test_fullest_bin_closes_first():
     assert [bins.put(n) for n in (6, 7, 8, 3, 2, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 8), (3, 0)]
     with pytest.raises(ValueError):
         bins.put(11)
+
+
+def test_packing_with_other_columns_and_long_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = "words again " * 150_000
+    frame = spark.createDataFrame([(1, long, 5, "x"), (1, long, 5, "x"), (None, None, 0, None)], "doc_id long, text string, length int, piece string")
+    got = packing.pack(packing.pieces(frame, path)).toPandas()
+    assert got[got.doc_id == 1].length.sum() == 2 * 300_001 and (got.length <= 2048).all() and len(got) == 2 * 147 + 1

@@ -64,3 +64,11 @@ def test_repeats_that_only_the_method_rejects():
         assert not row[failed] and not row[kept], given
     row = quality.measure([text(12, 2, 700)])[0]  # a line that comes twice is no reason
     assert not row[failed] and row[kept]
+
+
+def test_rows_with_other_columns_and_long_texts(spark):
+    long = "\n".join(f"a{k} b{k} c{k}" for k in range(60_000))
+    rows = [(1, long, 1), (1, long, 2), (None, None, 3), (2, "", 4)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, kept int").withColumn("n_words", quality.F.lit("x"))).collect()
+    assert len(got) == 4 and sorted((r.n_words, r.kept) for r in got) == [(0, False), (0, False), (180_000, True), (180_000, True)]
+    assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -18,38 +18,44 @@ ORACLE_SQL: str | None = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is not identified go: no letter, or no language
-    that is at least half probable."""
+    that is at least half probable. Null texts go; repeated rows are judged
+    alike; other columns stay as they are."""
     text_batches(spark)
     return langid.kept(docs, langid.learn(docs))
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar shingle sets the row with the smallest
-    doc_id stays; texts without a word are similar to nothing. Of rows that
-    repeat a doc_id, which are similar too, one stays."""
+    doc_id stays; texts without a word are similar to nothing. Rows that repeat
+    a doc_id are in one component, and one of them stays, the one of the least
+    text. Rows without a doc_id stay."""
     found = staged(jaccard.components(docs).filter("n_shingles > 0 AND doc_id != component_id").select("doc_id").distinct(), "others")
     again = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeats")
     # most rows are neither and stay without a shuffle
     some, rest = bits.apart(docs, "doc_id", found.select(F.col("doc_id").alias("id")).unionByName(again.select(F.col("doc_id").alias("id"))))
     some = some.join(found, "doc_id", "left_anti")
-    twice = some.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = some.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias("one")).select("one.*")
     some = some.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
     return rest.unionByName(some)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null texts and repeated rows
+    too. Very long texts are masked whole; other columns stay as they are."""
     return secrets.redact(docs, secrets.learn(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a document comes once for each epoch, the
-    last time cut where its source's budget ends."""
+    last time cut where its source's budget ends. Null and empty texts have no
+    words to take."""
     return mixing.drawn(mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset, one at least for each row.
+    An empty table gives no rows, here as in every stage."""
     import public_tokenizers
 
     # workers have held the tables of the stages before

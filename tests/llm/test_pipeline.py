@@ -33,6 +33,27 @@ def test_one_of_similar(spark):
     assert pipeline.one_of_similar(spark, docs.limit(0), "").collect() == []
 
 
+def test_stages_with_odd_rows(spark, sf_dir):
+    """Empty tables, nulls in any column, repeated rows and ids, columns with
+    names that the operators use."""
+    long = " ".join(f"the word number {k} of a long text" for k in range(4000))
+    rows = [(1, "the words of this text are in one language", "en", "a", 5), (1, "the words of this text are in one language", "en", "a", 5), (1, "but that one is another text of the same number", "en", None, 5), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "a text that has no number at all", "en", "a", 3), (4, long, "en", "b", 9)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id >= 10")
+    odd = spark.createDataFrame(rows, docs.schema).unionByName(docs)
+    names = ("slot", "part", "p", "spans", "size", "taken", "target", "kept", "score")
+    for name, stage in pipeline.STAGES[:-1]:
+        wide = odd.withColumns({n: F.lit("q") for n in names})
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        found = got.collect()
+        assert found and all(r[n] == "q" for r in found for n in names), name
+        if name == "near-duplicates":
+            assert sum(r.doc_id == 1 for r in found) == 1 and any(r.doc_id is None for r in found)
+        assert stage(spark, wide.limit(0), sf_dir).collect() == [], name
+    assert pipeline.STAGES[-1][1](spark, odd.withColumn("length", F.lit("q")), sf_dir).filter("doc_id = 1").count() == 3
+    assert pipeline.STAGES[-1][1](spark, odd.limit(0), sf_dir).collect() == []
+
+
 def test_apart(spark):
     df, ids = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 7)
     some, rest = bits.apart(df, "k", ids, 1 << 15)

@@ -87,12 +87,18 @@ def marginals(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.nd
     """Marginals of the words of whole texts, which have ``counts`` blocks each."""
     blocks, length, states = emit.shape
     e, m = np.exp(emit - emit.max(2, keepdims=True)), np.exp(move)
-    # what a block does: a row for each state before it, and one for the start
-    through = np.concatenate([m, np.exp(first)[None]])[None] * e[:, 0, None, :]
+    # what a block does: a row for each state before it, and one for the start;
+    # states first and blocks last, so that every step is a few long vectors
+    by_word = np.ascontiguousarray(e.transpose(1, 2, 0))
+    lead = np.concatenate([m, np.exp(first)[None]])
+    rows = lead[:, :, None] * by_word[0][None]
     for t in range(1, length):
-        on = real[:, t, None, None]
-        through = np.where(on, (through @ m) * e[:, t, None, :], through)
-        through /= through.sum((1, 2), keepdims=True)
+        to = np.empty_like(rows)
+        for k in range(states):
+            np.multiply(sum(rows[:, s] * m[s, k] for s in range(states)), by_word[t, k], out=to[:, k])
+        to /= to.sum((0, 1))
+        rows = to if real[:, t].all() else np.where(real[:, t], to, rows)
+    through = rows.transpose(2, 0, 1)
     heads, many = _turns(counts)
     before, after = np.empty((blocks, states), e.dtype), np.ones((blocks, states), e.dtype)
     state = None
@@ -122,11 +128,18 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndar
     counts = np.ones(blocks, np.int64) if counts is None else counts
     heads, many = _turns(counts)
     entered = np.zeros((blocks, states), emit.dtype)  # best scores of the word before
+    by_word = np.ascontiguousarray(emit.transpose(1, 2, 0))  # states first, blocks last
     if len(many) > 1:
-        through = np.concatenate([move, first[None]])[None] + emit[:, 0, None, :]
+        best_of = np.concatenate([move, first[None]])[:, :, None] + by_word[0][None]
         for t in range(1, length):
-            to = (through[:, :, :, None] + move).max(2) + emit[:, t, None, :]
-            through = np.where(real[:, t, None, None], to, through)
+            to = np.empty_like(best_of)
+            for k in range(states):
+                top = best_of[:, 0] + move[0, k]
+                for j in range(1, states):
+                    np.maximum(top, best_of[:, j] + move[j, k], out=top)
+                np.add(top, by_word[t, k], out=to[:, k])
+            best_of = to if real[:, t].all() else np.where(real[:, t], to, best_of)
+        through = best_of.transpose(2, 0, 1)
         state = None
         for k, n in enumerate(many.tolist()):
             at = heads[:n] + k
@@ -138,30 +151,36 @@ def viterbi(emit: np.ndarray, move: np.ndarray, first: np.ndarray, real: np.ndar
             state -= state.max(1, keepdims=True)
     start = np.zeros(blocks, bool)
     start[heads[: many[0]] if len(many) else heads[:0]] = True
-    back = np.empty((blocks, length, states), np.int8)
-    options = entered[:, :, None] + move
-    back[:, 0] = options.argmax(1)
-    best = np.where(start[:, None], first, options.max(1)) + emit[:, 0]
-    for t in range(1, length):
-        options = best[:, :, None] + move
-        back[:, t] = options.argmax(1)
-        now = options.max(1) + emit[:, t]
-        stay = ~real[:, t]
-        if stay.any():
-            now[stay], back[stay, t] = best[stay], np.arange(states, dtype=np.int8)
+    back = np.empty((length, states, blocks), np.int8)
+    best = np.ascontiguousarray(entered.T)
+    for t in range(length):
+        now, whole = np.empty_like(best), bool(real[:, t].all())
+        for k in range(states):
+            options = best + move[:, k, None]
+            options.argmax(0, out=(way := np.empty(blocks, np.intp)))
+            back[t, k] = way
+            now[k] = options.max(0)
+        if t == 0:
+            now = np.where(start, first[:, None], now)
+        now += by_word[t]
+        if not whole:
+            back[t] = np.where(real[:, t], back[t], np.arange(states, dtype=np.int8)[:, None])
+            now = np.where(real[:, t], now, best)
         best = now
     # the state that each last state of a block came from, then the blocks of a text from the last
-    rows, came = np.arange(blocks), np.tile(np.arange(states), (blocks, 1))
-    for t in range(length - 1, -1, -1):
-        came = np.take_along_axis(back[:, t], came, 1)
-    end = best.argmax(1)
-    for k in range(len(many) - 1, 0, -1):
-        at = heads[: many[k]] + k
-        end[at - 1] = came[at, end[at]]
-    path = np.empty((blocks, length), np.int8)
-    path[:, -1] = end
+    end = best.argmax(0)
+    if len(many) > 1:
+        came = np.repeat(np.arange(states)[:, None], blocks, 1)
+        for t in range(length - 1, -1, -1):
+            came = np.take_along_axis(back[t], came, 0)
+        for k in range(len(many) - 1, 0, -1):
+            at = heads[: many[k]] + k
+            end[at - 1] = came[end[at], at]
+    path, rows = np.empty((length, blocks), np.int8), np.arange(blocks)
+    path[-1] = end
     for t in range(length - 1, 0, -1):
-        path[:, t - 1] = back[rows, t, path[:, t]]
+        path[t - 1] = back[t, path[t], rows]
+    path = np.ascontiguousarray(path.T)
     path[~real] = 0
     return path
 

@@ -43,8 +43,8 @@ LEADERS = 2
 #: Elements count as common by buckets of their hashes: of 2 ** HOT_BITS
 #: buckets, those that many sets of a task share, the most shared first.
 HOT_BITS, HOT_LEAST, HOT_MOST = 22, 16, 200_000
-#: Candidate pairs that a task holds at a time.
-CHUNK = 1 << 20
+#: Candidate pairs that a task holds at a time; it needs some 100 bytes for each.
+CHUNK = 1 << 18
 #: Entries of a group in a list's size from which they are a block of their own.
 OWN_BLOCK = 16
 #: Members of a group whose links are derived together; larger groups go in

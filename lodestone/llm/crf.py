@@ -26,7 +26,7 @@ FEATURES = 1 << 15
 #: Features of a word at most.
 WIDEST = 8
 #: Words that an executor's table holds before it starts anew.
-TABLE = 400_000
+TABLE = 200_000
 
 
 def hashed(names: Sequence[str]) -> list[int]:

@@ -175,7 +175,7 @@ def described(docs: DataFrame) -> DataFrame:
     doc_id but with a hot bucket and the number of sets that share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, total = np.zeros(1 << HOT_BITS, np.int64), 0
+        shared, total = np.zeros(1 << HOT_BITS, np.int32), 0
         for batch in slices(batches):
             elements, sizes = shingle_sets(_texts(batch))
             np.add.at(shared, (elements >> U(64 - HOT_BITS)).astype(np.int64), 1)
@@ -189,7 +189,7 @@ def described(docs: DataFrame) -> DataFrame:
         hot = np.flatnonzero(shared >= HOT_LEAST + 4 * total / len(shared))
         blank = [None] * len(hot)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(blank, pa.int64()), pa.array(shared[hot]), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(blank, pa.binary()), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
+            [pa.array(blank, pa.int64()), pa.array(shared[hot].astype(np.int64)), pa.array(blank, pa.int64()), pa.array(blank, pa.list_(pa.int64())), pa.array(blank, pa.binary()), pa.array(hot.astype(np.int32)), pa.array([True] * len(hot), pa.bool_())], NAMES
         )
 
     return docs.mapInArrow(run, "doc_id long, n long, p long, bands array<long>, bits binary, bucket int, hot boolean")
@@ -264,10 +264,10 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.unpackbits(held.value).astype(np.uint64) << U(63)
+        last = np.unpackbits(held.value)
         for batch in slices(batches):
             elements, sizes = shingle_sets(_texts(batch))
-            keys = elements >> U(1) | last[(elements >> U(64 - HOT_BITS)).astype(np.int64)]
+            keys = elements >> U(1) | last[(elements >> U(64 - HOT_BITS)).astype(np.int64)].astype(np.uint64) << U(63)
             ends, out = np.cumsum(sizes), []
             for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
                 take = n - -(-WHOLE * n // PART) + 1

@@ -21,6 +21,8 @@ SLICE_BYTES = 1 << 20
 
 #: Spark's rows of an Arrow batch by default, and here, where rows hold texts.
 DEFAULT_ROWS, TEXT_ROWS = "10000", "2000"
+#: Spark's bytes of such a batch by default, and here.
+DEFAULT_BYTES, TEXT_BYTES = "67108864", "8388608"
 
 
 def text_batches(spark) -> None:
@@ -29,6 +31,9 @@ def text_batches(spark) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
         spark.conf.set(key, TEXT_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, DEFAULT_BYTES).rstrip("b") == DEFAULT_BYTES:
+        spark.conf.set(key, TEXT_BYTES)
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,44 @@ def reviews_by_department(employees: DataFrame, departments: DataFrame, reviews:
     return grouped.orderBy(F.desc("avg_review_score"))
 
 
+def salary_steps(employees: DataFrame, departments: DataFrame) -> DataFrame:
+    """Place, dense rank and the neighbouring salaries within a department, by
+    falling salary; ids break the ties of places and neighbours."""
+    order = Window.partitionBy("department_id").orderBy(F.desc("salary"), "id")
+    dense = F.dense_rank().over(Window.partitionBy("department_id").orderBy(F.desc("salary")))
+    return _staffed(employees, departments).select(
+        "id", "department", "salary", F.row_number().over(order).cast("long").alias("place"), dense.cast("long").alias("dense"),
+        F.lag("salary").over(order).alias("above"), F.lead("salary").over(order).alias("below"),
+    )
+
+
+def department_best(employees: DataFrame, departments: DataFrame) -> DataFrame:
+    """Employees with the highest salary of their department, all on a tie."""
+    best = employees.groupBy("department_id").agg(F.max("salary").alias("salary"))
+    return _staffed(employees, departments).join(best, ["department_id", "salary"], "left_semi").select("id", "name", "department", "salary")
+
+
+def payroll_share(employees: DataFrame, departments: DataFrame) -> DataFrame:
+    """Each department's share of all payroll, in percent: totals as one common
+    table, then set against their sum."""
+    totals = _staffed(employees, departments).groupBy("department").agg(F.sum("salary").alias("payroll"))
+    whole = totals.agg(F.sum("payroll").alias("whole"))  # one row
+    share = F.round(F.try_divide(F.col("payroll") * 100.0, F.col("whole")), 4).alias("payroll_pct")
+    return totals.crossJoin(F.broadcast(whole)).select("department", share)
+
+
+def matching(employees: DataFrame, pattern: str | None = None, titles: list[str] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Employees by name (LIKE), job title (IN) and salary (both bounds count);
+    what is not given is no condition."""
+    if pattern:
+        employees = employees.filter(F.col("name").like(pattern))
+    if titles:
+        employees = employees.filter(F.col("job_title").isin(titles))
+    if low is not None:
+        employees = employees.filter(F.col("salary") >= low)
+    return employees if high is None else employees.filter(F.col("salary") <= high)
+
+
 def with_managers(employees: DataFrame, managers: DataFrame) -> DataFrame:
     """Employees with manager_id from managers(id, manager_id) where given there."""
     new = managers.select("id", F.col("manager_id").alias("__new"))

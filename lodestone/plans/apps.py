@@ -169,6 +169,12 @@ SQL = {
       lambda x: NOT regexp_matches(x, '{R.EMAIL}') AND NOT regexp_matches(x, '{R.PHONE}') AND NOT regexp_matches(x, '[0-9]') AND len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) <= 5)[1], '') AS name,
       regexp_extract(text, '{R.EMAIL}', 0) AS email, trim(regexp_extract(text, '{R.PHONE}', 0), chr(10) || ' ') AS phone, trim(regexp_extract(text, '{R.LOCATION}', 0)) AS location FROM documents""",
     "unicode_norm": "SELECT doc_id, md5(nfc_normalize(regexp_replace(translate(text, '–—―−•‣▪●․·‧‘’“”\u00a0\uf0b7\u200b\u200c\u200d\ufeffâ', '----•••••••''''\"\" •'), '[\ue000-\uf8ff]', '', 'g'))) AS text_md5 FROM documents",
+    "resume_sections": "WITH texts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_text(t)})" for i, t in RESUMES if t is not None) + """) t(id, text)),
+      named AS (SELECT * FROM (VALUES """ + ", ".join(f"({_text(w)}, {_text(s)})" for s, ws in R.SECTIONS[1].items() for w in ws) + r""") n(word, heading)),
+      split AS (SELECT id, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS ls FROM texts),
+      each AS (SELECT id, unnest(range(0, len(ls)))::INT AS position, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS line FROM split),
+      placed AS (SELECT each.*, heading, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'header') AS section FROM each LEFT JOIN named ON word = trim(lower(line), ' :_-'))
+      SELECT id, position, section, line FROM placed WHERE heading IS NULL""",
     "md_strip": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
       '(?m)^#{1,6}\s+', '', 'g'), '\*{1,2}(.+?)\*{1,2}', '\1', 'g'), '_{1,2}(.+?)_{1,2}', '\1', 'g'), '\[(.+?)\]\(.+?\)', '\1', 'g'),
       '(?m)^[-*_]{3,}\s*$', '', 'g'), '<[^>]+>', '', 'g'), '(?m)^[*\-+]\s+', '• ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents""",

@@ -53,6 +53,11 @@ QUERIES = {
     "rel_above_avg": lambda s, d: R.above_average(*frames(s, d)[:2]),
     "rel_latest_review": lambda s, d: (lambda e, p, _, r: R.latest_reviews(e, p, r))(*frames(s, d)),
     "rel_review_by_department": lambda s, d: (lambda e, p, _, r: R.reviews_by_department(e, p, r))(*frames(s, d)),
+    "rel_salary_steps": lambda s, d: R.salary_steps(*frames(s, d)[:2]),
+    "rel_department_best": lambda s, d: R.department_best(*frames(s, d)[:2]),
+    "rel_payroll_share": lambda s, d: R.payroll_share(*frames(s, d)[:2]),
+    "rel_matching": lambda s, d: R.matching(frames(s, d)[0], "%7%", ["BUILDING", "MACHINERY"], 0, 5000).select("id", "name", "job_title", "salary"),
+    "rel_managers_updated": lambda s, d: (lambda e: R.with_managers(e, e.filter("id % 5 = 0").select("id", (F.col("id") + 1).alias("manager_id"))))(frames(s, d)[0]).select("id", "manager_id"),
 }
 
 RANKED = HR + "SELECT e.name, d.name AS department, e.salary, rank() OVER (PARTITION BY e.department_id ORDER BY e.salary DESC) AS dept_salary_rank FROM employees e JOIN departments d ON e.department_id = d.id"
@@ -79,4 +84,12 @@ SQL = {
         WHERE r.review_date = (SELECT max(review_date) FROM reviews x WHERE x.employee_id = e.id) ORDER BY r.score DESC, r.id LIMIT 50""",
     "rel_review_by_department": HR + """SELECT d.name AS department, count(DISTINCT e.id) AS employees_reviewed, round(avg(r.score), 2) AS avg_review_score, min(r.score) AS lowest_score,
         max(r.score) AS highest_score FROM reviews r JOIN employees e ON r.employee_id = e.id JOIN departments d ON e.department_id = d.id GROUP BY d.name""",
+    "rel_salary_steps": HR + """SELECT e.id, d.name AS department, e.salary, row_number() OVER w AS place, dense_rank() OVER (PARTITION BY e.department_id ORDER BY e.salary DESC) AS dense,
+        lag(e.salary) OVER w AS above, lead(e.salary) OVER w AS below FROM employees e JOIN departments d ON e.department_id = d.id WINDOW w AS (PARTITION BY e.department_id ORDER BY e.salary DESC, e.id)""",
+    "rel_department_best": HR + """SELECT e.id, e.name, d.name AS department, e.salary FROM employees e JOIN departments d ON e.department_id = d.id
+        WHERE e.salary = (SELECT max(salary) FROM employees x WHERE x.department_id = e.department_id)""",
+    "rel_payroll_share": HR + """, totals AS (SELECT d.name AS department, sum(e.salary) AS payroll FROM employees e JOIN departments d ON e.department_id = d.id GROUP BY 1)
+        SELECT department, round(payroll * 100 / (SELECT sum(payroll) FROM totals), 4) AS payroll_pct FROM totals""",
+    "rel_matching": HR + "SELECT id, name, job_title, salary FROM employees WHERE name LIKE '%7%' AND job_title IN ('BUILDING', 'MACHINERY') AND salary BETWEEN 0 AND 5000",
+    "rel_managers_updated": HR + "SELECT id, CASE WHEN id % 5 = 0 THEN id + 1 ELSE manager_id END AS manager_id FROM employees",
 }

@@ -99,6 +99,41 @@ CHUNKS = """WITH whole AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', ''
 starts AS (SELECT doc_id, t, unnest(range(0, length(t), 462)) AS a FROM whole WHERE length(t) > 0),
 chunks AS (SELECT doc_id, (a // 462)::INT AS index, substr(t, a + 1, 512) AS text, a::INT AS start_char FROM starts)
 """
+#: Pieces of whole texts t: sentences, and what nested separators leave, by depth.
+SENTENCES = r"""marked AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '([.!?])[^\S\n]*\n', '\1' || chr(1) || chr(10), 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g') AS m FROM whole),
+parts AS (SELECT doc_id, t, list_filter(list_transform(string_split(m, chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM marked WHERE t <> '')"""
+NESTED = r"""split AS (
+  SELECT doc_id, [0]::BIGINT[] AS path, t AS part, 0 AS depth FROM whole WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, list_append(path, k), list_extract(own, k), depth + 1 FROM (SELECT doc_id, path, depth, own, unnest(range(1, len(own) + 1)) AS k FROM (
+    SELECT doc_id, path, depth, list_filter(list_transform(string_split(part, [chr(10) || chr(10), chr(10), '. ', '! ', '? ', ' '][depth + 1]), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS own
+    FROM split WHERE length(part) > 512 AND depth < 6))),
+cut AS (SELECT doc_id, path, 0 AS a, part FROM split WHERE length(part) <= 512
+  UNION ALL SELECT doc_id, path, a, substr(part, a + 1, 512) FROM (SELECT doc_id, path, part, unnest(range(0, length(part), 462)) AS a FROM split WHERE length(part) > 512 AND depth = 6)),
+parts AS (SELECT doc_id, t, list(part ORDER BY path, a) AS ps FROM cut JOIN whole USING (doc_id) GROUP BY ALL)"""
+#: Chunks of pieces ps: one that begins with piece i and holds at least piece m
+#: ends before piece e; ends holds what lies before each piece, with spaces.
+GATHERED = """sized AS (SELECT *, len(ps) AS n, list_transform(range(0, len(ps) + 1), lambda k: coalesce(list_sum(list_transform(ps[:k], lambda x: length(x) + 1)), 0)::BIGINT) AS ends FROM parts),
+steps AS (
+  SELECT doc_id, 0::BIGINT AS index, 0::BIGINT AS i, least(n, greatest(1, len(list_filter(ends, lambda x: x <= 512)) - 1)) AS e FROM sized
+  UNION ALL
+  SELECT doc_id, index + 1, i, least(n, greatest(e + 1, len(list_filter(ends, lambda x: x - ends[i + 1] <= 512)) - 1))
+  FROM (SELECT s.doc_id, s.index, s.e, z.n, z.ends, greatest(s.i, len(list_filter(z.ends, lambda x: z.ends[s.e + 1] - x > 50))) AS i FROM steps s JOIN sized z USING (doc_id) WHERE s.e < z.n)),
+chunks AS (SELECT doc_id, index, t, array_to_string(ps[i + 1:e], ' ') AS text FROM steps JOIN sized USING (doc_id))"""
+#: Starts of chunks; {back} is how far before the last end a chunk may begin.
+PLACED = """{name} AS (
+  SELECT doc_id, index, text, greatest(strpos(t, text) - 1, 0) AS start_char, {first} AS next FROM {chunks} WHERE index = 0
+  UNION ALL
+  SELECT doc_id, index, text, start_char, {next} FROM (
+    SELECT c.doc_id, c.index, c.text, w.next, CASE WHEN strpos(substr(c.t, {since} + 1), c.text) = 0 THEN w.next ELSE {since} + strpos(substr(c.t, {since} + 1), c.text) - 1 END AS start_char
+    FROM {name} w JOIN {chunks} c ON c.doc_id = w.doc_id AND c.index = w.index + 1))"""
+_ONCE = "WITH RECURSIVE whole AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)"
+_SHOWN = "SELECT doc_id, index::INT AS index, text, start_char::INT AS start_char, (start_char + length(text))::INT AS end_char, length(text)::INT AS char_count, (length(text) // 4)::INT AS token_estimate FROM placed"
+SENTENCE_CHUNKS = f"{SENTENCES}, {GATHERED}"
+RECURSIVE_CHUNKS = f"{NESTED}, {GATHERED}"
+SENTENCE_PLACED = PLACED.format(name="placed", chunks="chunks", first="greatest(strpos(t, text) - 1, 0) + length(text)", next="start_char + length(text)", since="greatest(0, w.next - length(c.text))")
+RECURSIVE_PLACED = PLACED.format(name="placed", chunks="chunks", first="greatest(0, greatest(strpos(t, text) - 1, 0) + length(text) - 50)", next="greatest(next, start_char + length(text) - 50)", since="w.next")
+_SUMS = "count(*) AS total_chunks, round(avg(length(text)), 1) AS avg_size, min(length(text))::BIGINT AS min_size, max(length(text))::BIGINT AS max_size"
 PRICES = "prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i}::DECIMAL(9, 2), {o}::DECIMAL(9, 2))" for m, _, i, o in T.MODELS) + ") p(model, i, o))"
 CALLS = f"""WITH {PRICES}, told AS (SELECT conv_id, turn, role, {_EST} AS tokens, {_MODEL} AS model,
   coalesce(sum({_EST}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS input_tokens FROM conversations),
@@ -112,6 +147,11 @@ kept AS (SELECT * FROM upto UNION ALL SELECT * FROM log WHERE request_id > (SELE
 SQL = {
     "chunk_fixed": CHUNKS + f"SELECT doc_id, index, text, start_char, ({_N} + start_char)::INT AS end_char, {_N}::INT AS char_count, ({_N} // 4)::INT AS token_estimate FROM chunks",
     "chunk_fixed_summary": CHUNKS + f"SELECT 'fixed' AS strategy, count(*) AS total_chunks, round(avg({_N}), 1) AS avg_size, min({_N})::BIGINT AS min_size, max({_N})::BIGINT AS max_size FROM chunks",
+    "chunk_sentence": f"{_ONCE}, {SENTENCE_CHUNKS}, {SENTENCE_PLACED} {_SHOWN}",
+    "chunk_recursive": f"{_ONCE}, {RECURSIVE_CHUNKS}, {RECURSIVE_PLACED} {_SHOWN}",
+    "chunk_compare": f"""SELECT 'fixed' AS strategy, {_SUMS} FROM ({CHUNKS} SELECT text FROM chunks)
+      UNION ALL SELECT 'sentence', {_SUMS} FROM ({_ONCE}, {SENTENCE_CHUNKS} SELECT text FROM chunks)
+      UNION ALL SELECT 'recursive', {_SUMS} FROM ({_ONCE}, {RECURSIVE_CHUNKS} SELECT text FROM chunks)""",
     "token_estimates": f"SELECT doc_id, ({_EST})::BIGINT AS tokens FROM documents",
     "message_tokens": f"SELECT conv_id, (sum({_EST}) + 4 * count(*) + 2)::BIGINT AS tokens FROM conversations GROUP BY 1",
     "cost_by_call": CALLS.format(most=1) + "SELECT model, request_id, input_tokens, output_tokens, round(ic, 6)::DOUBLE AS input_cost, round(oc, 6)::DOUBLE AS output_cost, round(ic + oc, 6)::DOUBLE AS total_cost, CASE WHEN unknown THEN 'no price for model ''' || model || '''' ELSE '' END AS note FROM calls",

@@ -54,8 +54,13 @@ MEMBERS = 4096
 U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
+#: A word's hash is the sum of its bytes' values times powers of STEP by place.
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, np.int64).astype(np.uint64) * U(2) + U(1)
-_POWERS = [np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))]
+_BYTE[_WHITE] = 0
+STEP = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at a time, more only for a longer word; few stay in the cache.
+SPAN = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,10 +70,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    while len(_POWERS[0]) < n:
-        _POWERS[0] = np.cumprod(np.full(2 * len(_POWERS[0]), 0x9E3779B97F4A7C15, np.uint64))
-    return _POWERS[0]
+def _powers(step: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``step`` or more, from 1 on."""
+    if len(_POWERS.get(step, ())) < n:
+        _POWERS[step] = np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, step, U))])
+    return _POWERS[step]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +90,19 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    sizes = ends - starts
-    total = int(sizes.sum())
-    offset = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values = _BYTE[data[~white]] * _powers(int(sizes.max()))[offset]
-    hashes = mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+    sums = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        # powers count from the first of these words, and the inverse of its start's sets each right
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + SPAN, "right")))
+        n = int(ends[to - 1] - base)
+        values = _BYTE[data[base : base + n]]
+        values *= _powers(STEP, max(n, SPAN))[:n]
+        first = starts[at:to] - base
+        sums[at:to] = np.add.reduceat(values, first) * _powers(pow(STEP, -1, 1 << 64), max(n, SPAN))[first]
+        at = to
+    hashes = mixed(sums * U(STEP) + (ends - starts).astype(U))
     edges = np.cumsum([len(r) for r in raw])
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, edges)]))
     return hashes, counts

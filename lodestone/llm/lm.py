@@ -44,7 +44,8 @@ REACH = 2
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 1024, 0.3
 #: Pieces in which weights are averaged.
 PIECES = 16
-CHUNK = 1 << 15
+#: Words scored at a time; their class odds stay in the cache.
+CHUNK = 1 << 11
 #: Different words that a task counts before it sends them on.
 HELD = 1 << 20
 

@@ -152,32 +152,38 @@ class Network:
             at += n
         return Network(out, self.words, self.of, self.share)
 
+    def odds(self, h: np.ndarray, own: np.ndarray | None = None):
+        """Odds of the classes, a row each, which sums over classes are quick on;
+        with ``own`` the log probability of each place's class instead."""
+        z = self.weights["out"].T @ h.T
+        z += self.weights["bias"][:, None]
+        z -= z.max(0)
+        got = None if own is None else z[own, np.arange(len(own))]
+        np.exp(z, out=z)
+        return z if own is None else got - np.log(z.sum(0))
+
     def train(self, flat: np.ndarray, places: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """A pass of minibatches over masked ``places``, with Adagrad."""
         w = self.weights
         for at in range(0, len(places), BATCH):
             p = places[at : at + BATCH]
-            around = [flat[p + s] for s in SIDES]
-            x = [w["embed"].take(a, 0) for a in around]
-            h = np.tanh(sum(v @ m for v, m in zip(x, w["project"], strict=True)) + w["shift"])
-            miss = h @ w["out"]
-            miss += w["bias"]
-            miss -= miss.max(1, keepdims=True)
-            np.exp(miss, out=miss)
-            miss /= miss.sum(1, keepdims=True)
-            miss[np.arange(len(p)), self.of[flat[p]]] -= 1
-            back = (miss @ w["out"].T) * (1 - h * h)
+            around = flat[p[:, None] + np.array(SIDES)]
+            x = w["embed"].take(around, 0).reshape(len(p), -1)
+            project = w["project"].reshape(-1, WIDTH)
+            h = np.tanh(x @ project + w["shift"])
+            miss = self.odds(h)
+            miss /= miss.sum(0)
+            miss[self.of[flat[p]], np.arange(len(p))] -= 1
+            back = (miss.T @ w["out"].T) * (1 - h * h)
             # of the embeddings only the rows around have a gradient, summed in their order
-            every = np.concatenate(around)
+            every = around.ravel()
             order = np.argsort(every.astype(np.uint16), kind="stable")
             ordered = every[order]
-            last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
-            rows = ordered[last]
-            steps = np.concatenate([m @ back.T for m in w["project"]], 1).take(order, 1)
-            embed = np.diff(np.cumsum(steps, 1, float)[:, last], axis=1, prepend=0).T.astype(np.float32, order="C")
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            rows = ordered[first]
+            embed = np.add.reduceat((back @ project.T).reshape(-1, WIDTH).take(order, 0), first, 0)
             embed[rows == 0] = 0
-            project = np.stack([v.T @ back for v in x])
-            grads = {"embed": embed, "project": project, "shift": back.sum(0), "out": h.T @ miss, "bias": miss.sum(0)}
+            grads = {"embed": embed, "project": (x.T @ back).reshape(w["project"].shape), "shift": back.sum(0), "out": h.T @ miss.T, "bias": miss.sum(1)}
             for k, g in grads.items():
                 on = rows if k == "embed" else slice(None)
                 g = g / len(p)
@@ -192,13 +198,8 @@ class Network:
         for at in range(0, len(places), CHUNK):
             p = places[at : at + CHUNK]
             h = np.tanh(sum(t[flat[p + s]] for t, s in zip(tables, SIDES, strict=True)) + w["shift"])
-            z = h @ w["out"] + w["bias"]
             own = flat[p]
-            got = z[np.arange(len(p)), self.of[own]]
-            top = z.max(1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[at : at + CHUNK] = got - top - np.log(z.sum(1)) + self.share[own]
+            out[at : at + CHUNK] = self.odds(h, self.of[own]) + self.share[own]
         return out
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,20 @@ class _Classes(dict):
 CLASSES = _Classes()
 RUNS = re.compile(r"(.)\1+", re.S)
 SOLID = re.compile("[daxXu]+")
+UNMARKED = crf.hashed(["q="])
+
+
+@lru_cache(1 << 14)
+def _of_classes(classes: str) -> tuple[list[int], list[int], list[int]]:
+    """Features that words of the same classes share: those before and those
+    after the mark's, and those of words whose shape is long."""
+    n, digits, shape, more = len(classes), classes.count("d"), RUNS.sub(r"\1", classes), []
+    if len(shape) > 12:
+        run = max(SOLID.findall(classes), key=len, default="")
+        more = [f"e={shape[-12:]}", f"t={min(len(run) // 8, 8)},{''.join(sorted(set(run)))}"]
+    lead = [f"h={shape[:12]}", f"n={n if n < 16 else 15 + min(n // 8, 8)}", f"d={min(digits, 3)},{n >= 16}"]
+    rest = [f"k={''.join(sorted(set(classes) & {'d', 'a', 'x', 'X', 'u'}))},{n >= 16},{n >= 24}", "bias"]
+    return crf.hashed(lead), crf.hashed(rest), crf.hashed(more)
 
 
 def features(word: str) -> list[int]:
@@ -79,23 +94,12 @@ def features(word: str) -> list[int]:
     the word itself if it is short and of letters only; of a word whose shape is
     long, also the end of the shape and the length and kinds of its longest run
     of letters and digits. All of them are taken from the whole word."""
-    n, classes = len(word), "".join(map(CLASSES.__getitem__, word))
-    digits, shape = classes.count("d"), RUNS.sub(r"\1", classes)
-    names = [
-        f"h={shape[:12]}",
-        f"n={n if n < 16 else 15 + min(n // 8, 8)}",
-        f"d={min(digits, 3)},{n >= 16}",
-        f"q={word[0]}{word[-1]}" if not word[0].isalnum() else "q=",
-        f"k={''.join(sorted(set(classes) & {'d', 'a', 'x', 'X', 'u'}))},{n >= 16},{n >= 24}",
-        "bias",
-    ]
+    lead, rest, more = _of_classes("".join(map(CLASSES.__getitem__, word)))
+    mark = UNMARKED if word[0].isalnum() else crf.hashed([f"q={word[0]}{word[-1]}"])
     bare = word.strip("\"'=:,;.").lower()
     if len(bare) <= 12 and bare.isalpha():
-        names.append(f"w={bare}")
-    elif len(shape) > 12:
-        run = max(SOLID.findall(classes), key=len, default="")
-        names += [f"e={shape[-12:]}", f"t={min(len(run) // 8, 8)},{''.join(sorted(set(run)))}"]
-    return crf.hashed(names)
+        more = crf.hashed([f"w={bare}"])
+    return [*lead, *mark, *rest, *more]
 
 
 def notes(text: str) -> list[int]:

@@ -26,7 +26,7 @@ FEATURES = 1 << 15
 #: Features of a word at most.
 WIDEST = 8
 #: Words that an executor's table holds before it starts anew.
-TABLE = 200_000
+TABLE = 100_000
 
 
 def hashed(names: Sequence[str]) -> list[int]:
@@ -210,6 +210,8 @@ class Chain:
     def forget(self) -> None:
         self.index = Index()
         self.table = np.zeros((1, 3 * self.states), np.float32)
+        if hasattr(self.features, "forget"):
+            self.features.forget()
 
     def __getstate__(self):
         return self.__dict__ | {"index": Index(), "table": np.zeros((1, 3 * self.states), np.float32)}

@@ -76,7 +76,7 @@ SOLID = re.compile("[daxXu]+")
 UNMARKED = crf.hashed(["q="])
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 13)
 def _of_classes(classes: str) -> tuple[list[int], list[int], list[int]]:
     """Features that words of the same classes share: those before and those
     after the mark's, and those of words whose shape is long."""
@@ -102,6 +102,9 @@ def features(word: str) -> list[int]:
     return [*lead, *mark, *rest, *more]
 
 
+features.forget = _of_classes.cache_clear  # with the chain's table
+
+
 def notes(text: str) -> list[int]:
     """Features of the file: has assignments, is one line, is long, has braces."""
     return [i for i, on in enumerate(("=" in text, "\n" not in text, len(text) > 4000, "{" in text)) if on]

@@ -3,10 +3,12 @@ import random
 import re
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from lodestone.functions import embedding, text, tokens
 from lodestone.operators import chunking, lexical, profile, prompts, resume, scoring, storage, usage, vectors
+from lodestone.plans import registry
 from lodestone.sources import generator, readers
 from pyspark.sql import functions as F
 
@@ -318,3 +320,14 @@ def test_stream_of_the_log_has_the_totals_of_the_table(spark, sf_dir):
     assert want.keys() == got.keys() and sum(r["input_tokens"] for r in got.values()) > 0
     for model, row in want.items():
         assert got[model] == {**row, "total_cost": pytest.approx(row["total_cost"], abs=2e-6)}
+
+
+def test_contact_beside_letters_beyond_ascii(spark, tmp_path):
+    """The whole query against its SQL, where places adjoin letters beyond ASCII."""
+    texts = ["QUEASARJARR MENTE, CIÓNMIÍRR", "ÑSpringfield, ILé", "ñ Lyon, FR", "xLyon, FR Rome, ITa Rome, IT9 Rome, IT_", "9Bern, CH Bern, CH", "Ann Éa\nAnn, B\nÖRome, IT", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["resume_contact"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(duck.execute(registry.oracle_sql()["resume_contact"]).fetchall())
+    assert [r[4] for r in got][:2] == ["QUEASARJARR MENTE, CI", "Springfield, IL"]

@@ -17,6 +17,10 @@ element's position; blocks of sizes that cannot reach the threshold are
 skipped, so are blocks of the set's own group, and the rest of a block from the
 first position that leaves too few elements.
 
+Guests: a set that may link with members of a large group is paired with the
+group's leader alone. Its differences to the leader tell the overlap with every
+member, as they do inside a group, whether or not it links with the leader.
+
 Elements and sets are told apart by 64-bit hashes.
 """
 
@@ -50,6 +54,10 @@ OWN_BLOCK = 16
 #: Members of a group whose links are derived together; larger groups go in
 #: pairs of such blocks.
 MEMBERS = 4096
+#: Members of a group from which other sets are its guests and no pairs of sets.
+LARGE = 32
+#: A part's slack from which nothing is known of its members' distances.
+MOST_SLACK = (1 << 32) - 1
 
 U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -293,19 +301,23 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def posted(rows: DataFrame) -> DataFrame:
-    """An index row for each element of the prefixes of (p, part, n, prefix)."""
+    """An index row for each element of the prefixes of (p, part, n, prefix); of
+    rows with room, 0 but for large parts, it goes along."""
+    told = "room" in rows.columns
+    rows = rows if told else rows.withColumn("room", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
-            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
             sizes = np.array([len(x) for x in tokens])
             place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             npos = np.repeat(batch.column(2).to_numpy() << 32, sizes) + place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), pa.array(npos), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))], ["token", "npos", "p", "part"]
+                [pa.array(np.concatenate(tokens)), pa.array(npos), *(pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in (0, 1, 3))], ["token", "npos", "p", "part", "room"]
             )
 
-    return rows.select("p", "part", "n", "prefix").mapInArrow(run, "token long, npos long, p long, part long")
+    index = rows.select("p", "part", "n", "room", "prefix").mapInArrow(run, "token long, npos long, p long, part long, room long")
+    return index if told else index.drop("room")
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -366,20 +378,62 @@ def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarr
         at = to
 
 
+def guest_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of entries i and of an entry j of a large part, one for all
+    of its entries in a list that have a size, that i may link with; lists are
+    sorted by token, n, pos. Of two large parts, members of the one with less
+    room are guests of the other."""
+    large = np.flatnonzero(room)
+    if not len(large):
+        return
+    large = large[np.lexsort((pos[large], n[large], part[large], token[large]))]
+    blocks = large[np.concatenate([[True], np.any([x[large][1:] != x[large][:-1] for x in (token, part, n)], 0)])]  # the first position
+    wide = int(n.max()) + 2
+    start = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]])) * wide
+    rank, size = start + n, n[blocks]
+    lowest = np.searchsorted(rank, start[blocks] - (-WHOLE * size // PART))
+    look = np.searchsorted(rank, start[blocks] + np.minimum(PART * size // WHOLE, wide - 1), "right") - lowest
+    done = np.cumsum(look)
+    for at in range(0, int(done[-1]), CHUNK):
+        flat = np.arange(at, min(at + CHUNK, int(done[-1])))
+        b = np.searchsorted(done, flat, "right")
+        i, j = lowest[b] + flat - (done - look)[b], blocks[b]
+        need = needed(n[i], n[j])
+        less = (room[i] < room[j]) | ((room[i] == room[j]) & (part[i] < part[j]))
+        fits = less & (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need)
+        yield i[fits], j[fits]
+
+
 def candidates(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different parts that may link."""
+    """Pairs (a, b) of classes of different parts that may link. If the index
+    has room, a class that may link with members of a large part comes in one
+    pair with the part's leader b instead; slack is the part's there, else -1."""
+    told = "room" in index.columns
+    index = index if told else index.withColumn("room", F.lit(0).cast("long"))
     rows = index.repartition(F.col("token")).sortWithinPartitions("token", "npos", "p")
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, npos, own, part = (table.column(k).to_numpy() for k in range(4))
+        token, npos, own, part, room = (table.column(k).to_numpy() for k in range(5))
         if not len(token):
             return
-        for i, j in list_pairs(token, npos >> 32, npos & 0xFFFFFFFF, part):
+        n, pos = npos >> 32, npos & 0xFFFFFFFF
+
+        def batch(a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
+            rows = np.unique(np.stack([a, b, slack], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "slack"])
+
+        for i, j in guest_pairs(token, n, pos, part, room):
+            if len(i):
+                yield batch(own[i], part[j], room[j] & MOST_SLACK)
+        few = np.flatnonzero(room == 0)
+        if not len(few):
+            return
+        own, part = own[few], part[few]
+        for i, j in list_pairs(token[few], n[few], pos[few], part):
             apart = part[i] != part[j]
             a, b = own[i[apart]], own[j[apart]]
             if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                yield batch(np.minimum(a, b), np.maximum(a, b), np.full(len(a), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # lists not known to have ended
@@ -395,7 +449,8 @@ def candidates(index: DataFrame) -> DataFrame:
         if held:
             yield from found(single_lists_out(pa.Table.from_batches(held)))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.mapInArrow(run, "a long, b long, slack long")
+    return (pairs if told else pairs.select("a", "b")).distinct()
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -421,17 +476,23 @@ def differing(x: pa.Array, y: pa.Array) -> np.ndarray:
 
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose parity bits leave a link possible: of sets that link,
-    at most (PART - WHOLE) / (PART + WHOLE) of all elements are in one alone."""
+    at most (PART - WHOLE) / (PART + WHOLE) of all elements are in one alone.
+    With a slack of 0 or more, b leads a part and a link of a with any member
+    is meant; the member that allows most adds the slack to this bound; the column guest tells these pairs."""
+    told = "slack" in pairs.columns
+    pairs = pairs if told else pairs.withColumn("slack", F.lit(-1).cast("long"))
     side = classes.select("p", "n", "bits")
-    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y", "slack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            most = (PART - WHOLE) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
-            keep = (PART + WHOLE) * differing(batch.column(4), batch.column(5)) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            slack = batch.column(6).to_numpy()
+            most = (PART - WHOLE) * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + np.maximum(slack, 0)
+            keep = ((PART + WHOLE) * differing(batch.column(4), batch.column(5)) <= most) | (slack == MOST_SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slack >= 0)], ["a", "b", "guest"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    found = both.mapInArrow(run, "a long, b long, guest boolean")
+    return found if told else found.select("a", "b")
 
 
 def single_lists_out(table: pa.Table) -> pa.Table:
@@ -493,29 +554,71 @@ def inner_links(members: DataFrame) -> DataFrame:
     looked at, in pairs of blocks. Blocks are of sizes within WHOLE / PART of
     each other, so that only neighbouring sizes can link.
     """
-    total = (PART + WHOLE) * F.col("whole")
-    weight = (PART + WHOLE) * (F.col("whole") - F.col("common")) + WHOLE * F.col("n")
-    rows = members.withColumns({"weight": weight, "total": total, "step": F.floor(F.log("n") / float(np.log(PART / WHOLE)) + 1e-9).cast("long")})
+    rows = weighted(members)
     groups = rows.groupBy("part").agg(F.count("*").alias("size"), F.max("weight").alias("most")).filter("size > 1")
     rows = rows.join(groups, "part").withColumn("close", F.col("weight") + F.col("most") <= F.col("total"))
     sure = rows.filter("close").select("p", (F.col("size") - 1).alias("links"))
     others = rows.filter("NOT close")
-    steps = others.groupBy("part", "step").agg(F.count("*").alias("many"))
-    steps = steps.select("part", F.struct("step", F.ceil(F.col("many") / MEMBERS).alias("blocks"), "many").alias("own")).groupBy("part").agg(F.collect_list("own").alias("steps"))  # sizes have few steps
+    steps = stepped(others)
     others = others.join(steps, "part")
-    mine = F.filter("steps", lambda s: s["step"] == F.col("step"))[0]["blocks"]
-    block = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("p"), mine)
-    near = F.filter("steps", lambda s: F.abs(s["step"] - F.col("step")) <= 1)
-    blocks = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["blocks"] - 1), lambda k: s["step"] * (1 << 32) + k)))
     reached = others.select("p", (F.col("size") - F.aggregate("steps", F.lit(0).cast("long"), lambda x, s: x + s["many"])).alias("links"))  # the close ones
-    dealt = others.withColumn("block", block).withColumn("other", F.explode(blocks)).select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "p", "weight", "total", "apart")
+    dealt = others.withColumn("block", block_of("steps")).withColumn("other", F.explode(blocks_near("steps")))
+    dealt = dealt.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left"), "p", "weight", "total", "apart")
+    return sure.unionByName(reached).unionByName(counted_links(dealt).select("p", "links")).groupBy("p").agg(F.sum("links").alias("links"))
+
+
+def guest_links(members: DataFrame, guests: DataFrame) -> DataFrame:
+    """part, p, left and links: how many members a guest of the part links with
+    (left), and a member with how many guests. Both tables are as above, their
+    differences those to the part's leader."""
+    members, guests = weighted(members.join(guests.select("part").distinct(), "part", "left_semi")), weighted(guests)
+    home, away = stepped(members).withColumnRenamed("steps", "home"), stepped(guests).withColumnRenamed("steps", "away")
+    steps = home.join(away, "part")
+    members = members.join(steps, "part").select("*", F.explode(blocks_near("away")).alias("low"), block_of("home").alias("high"), F.lit(False).alias("left"))
+    guests = guests.join(steps, "part").select("*", block_of("away").alias("low"), F.explode(blocks_near("home")).alias("high"), F.lit(True).alias("left"))
+    kept = ["part", "low", "high", "left", "p", "weight", "total", "apart"]
+    return counted_links(guests.select(kept).unionByName(members.select(kept)), apart=True).groupBy("part", "p", "left").agg(F.sum("links").alias("links"))
+
+
+def weighted(rows: DataFrame) -> DataFrame:
+    """With weight, the leader's total and the step of sizes, as above."""
+    weight = (PART + WHOLE) * (F.col("whole") - F.col("common")) + WHOLE * F.col("n")
+    return rows.withColumns({"weight": weight, "total": (PART + WHOLE) * F.col("whole"), "step": F.floor(F.log("n") / float(np.log(PART / WHOLE)) + 1e-9).cast("long")})
+
+
+def stepped(rows: DataFrame) -> DataFrame:
+    """part and its steps of sizes, each with its blocks of MEMBERS rows."""
+    steps = rows.groupBy("part", "step").agg(F.count("*").alias("many"))
+    return steps.select("part", F.struct("step", F.ceil(F.col("many") / MEMBERS).alias("blocks"), "many").alias("own")).groupBy("part").agg(F.collect_list("own").alias("steps"))  # sizes have few steps
+
+
+def block_of(steps: str) -> Column:
+    """The block of a row, given its part's steps."""
+    mine = F.filter(steps, lambda s: s["step"] == F.col("step"))[0]["blocks"]
+    return F.col("step") * (1 << 32) + F.pmod(F.xxhash64("p"), mine)
+
+
+def blocks_near(steps: str) -> Column:
+    """The blocks of the row's step of sizes and of its neighbours."""
+    near = F.filter(steps, lambda s: F.abs(s["step"] - F.col("step")) <= 1)
+    return F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["blocks"] - 1), lambda k: s["step"] * (1 << 32) + k)))
+
+
+def counted_links(dealt: DataFrame, apart: bool = False) -> DataFrame:
+    """part, p, left and links of each row of (part, low, high, left, p, weight,
+    total, apart), with those of the same blocks low and high; ``apart`` if the
+    two sides are of different rows throughout."""
     dealt = dealt.repartition(F.col("part"), F.col("low"), F.col("high")).sortWithinPartitions("part", "low", "high", "p")
+    sides = apart
 
     def counted(table: pa.Table) -> pa.RecordBatch:
-        low, block = table.column("low").to_numpy(), table.column("block").to_numpy()
+        left = table.column("left").to_numpy()
         apart = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("apart")]
-        links = derived_links(table.column("weight").to_numpy(), apart, table.column("total")[0].as_py(), block == low)
-        return pa.RecordBatch.from_arrays([table.column("p").combine_chunks(), pa.array(links)], ["p", "links"])
+        if sides and left.all():
+            links = np.zeros(len(left), np.int64)
+        else:
+            links = derived_links(table.column("weight").to_numpy(), apart, table.column("total")[0].as_py(), left)
+        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("part", "p", "left")), pa.array(links)], ["part", "p", "left", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -532,7 +635,7 @@ def inner_links(members: DataFrame) -> DataFrame:
         if held:
             yield counted(pa.Table.from_batches(held))
 
-    return sure.unionByName(reached).unionByName(dealt.mapInArrow(run, "p long, links long")).groupBy("p").agg(F.sum("links").alias("inner"))
+    return dealt.mapInArrow(run, "part long, p long, left boolean, links long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -568,23 +671,33 @@ def components(docs: DataFrame) -> DataFrame:
     stars = members.select(F.col("b").alias("p"), F.col("a").alias("part"), F.col("m").alias("n"), "common", F.col("n").alias("whole"), "apart")
     leaders = members.select(F.col("a").alias("p"), "n").distinct()
     leaders = leaders.select("p", F.col("p").alias("part"), "n", F.col("n").alias("common"), F.col("n").alias("whole"), F.lit(b"").alias("apart"))
-    inner = inner_links(stars.unionByName(leaders))
+    stars = stars.unionByName(leaders)
+    inner = inner_links(stars)
+    # what a link with a member allows beyond a link with the leader, at most
+    slack = F.max((PART - WHOLE) * (F.col("n") - F.col("whole")) + (PART + WHOLE) * (F.col("whole") + F.col("n") - 2 * F.col("common")))
+    large = stars.groupBy("part").agg(F.count("*").alias("size"), F.least(slack, F.lit(MOST_SLACK)).alias("slack")).filter(F.col("size") >= LARGE)
+    large = large.select("part", (F.col("size") * (1 << 32) + F.col("slack")).alias("room"))
 
     # pairs across groups from the index
     vertices = classes.select("p", "least").join(parts, F.col("p") == F.col("node"), "left").select("p", F.col("least").alias("doc_id"), F.coalesce("label", "p").alias("part"))
+    vertices = vertices.join(large, "part", "left").withColumn("room", F.coalesce("room", F.lit(0).cast("long")))
     index = posted(prefixes(docs, hot_buckets(spark, rows)).join(vertices, ["doc_id", "p"]))
     chosen = staged(plausible(candidates(index), classes), "candidates")
     sets = fetched(chosen, docs, classes, room)
-    more = overlaps(chosen, sets)
+    more = overlaps(chosen.filter("NOT guest").select("a", "b"), sets)
+    visits = overlaps(chosen.filter("guest").select(F.col("b").alias("a"), F.col("a").alias("b")), sets, True)
     release(sets)
+    guests = visits.select(F.col("b").alias("p"), F.col("a").alias("part"), F.col("m").alias("n"), "common", F.col("n").alias("whole"), "apart")
+    hosted = staged(guest_links(stars, guests).filter("links > 0"), "hosted")
     ends = more.select(F.col("a").alias("p")).unionAll(more.select(F.col("b").alias("p")))
-    links = inner.join(ends.groupBy("p").agg(F.count("*").alias("outer")), "p", "full").select("p", (F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("n_links"))
+    links = inner.unionByName(ends.groupBy("p").agg(F.count("*").alias("links"))).unionByName(hosted.select("p", "links")).groupBy("p").agg(F.sum("links").alias("n_links"))
 
     # ids that repeat with unlike texts tie their sets together
     mixed_ids = staged(own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low != high").select("doc_id"), "repeats")
     again = own.join(mixed_ids, "doc_id").filter("n > 0").select("doc_id", "p").distinct()
     ties = again.join(again.groupBy("doc_id").agg(F.min("p").alias("v")), "doc_id").select(F.col("p").alias("u"), "v")
     edges = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(ties)
+    edges = edges.unionByName(hosted.filter("left").select(F.col("p").alias("u"), F.col("part").alias("v")))  # parts are connected
     found = labels(edges)
     found = found.unionByName(found.select(F.col("label").alias("node"), "label").distinct())
     named = classes.join(found, F.col("p") == F.col("node"))
@@ -594,7 +707,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     out = own.join(classes.select("p", "least"), "p", "left").join(known, "p", "left").join(own_component, "doc_id", "left")
     component = F.coalesce("of_id", F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id")))
-    release(near, members, chosen, pairs, more, parts)
+    release(near, members, chosen, pairs, more, visits, hosted, parts)
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -111,3 +111,28 @@ def test_component_labels(spark):
     got = dict(map(tuple, components.labels(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert {got[i] for i in range(101, 141)} == {100} and 100 not in got
     assert all(got[v] == 500 for u, v in edges if u == 500)
+
+
+def test_sets_beside_a_large_group_are_its_guests(spark, monkeypatch):
+    """Many near copies, some of them far from the group's leader: links are
+    those of brute force, and pairs don't grow with the square of the group."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k, n in enumerate((400, 60)):
+        base = [f"{k}w{v}" for v in range(120)]
+        rows += list(variants(rng, base, n, 5))
+        rows += [" ".join(base[: 60 + 4 * j] + [f"{k}t{v}" for v in range(j)]) for j in range(15)]
+    # a set that only links with a guest, which links with members
+    rows += [" ".join(f"0w{v}" for v in range(a, b)) for a, b in ((0, 95), (20, 95), (30, 95), (30, 90))]
+    made, before = [], jaccard.candidates
+
+    def counted(index):
+        found = before(index)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute(list(enumerate(rows)))
+    assert sorted(tuple(r) for r in jaccard.components(docs).collect()) == want
+    assert 0 < made[0] < 3 * len(rows)

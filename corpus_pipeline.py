@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # workers have held the tables of the stages before
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remember=50_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import SPARE, below, drawn, staged
-from .words import claim, slices
+from .words import claim, slices, tidy
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -28,6 +28,8 @@ BITS = 16
 PER_LANGUAGE, SAMPLE = 500, 8_000
 #: More languages than this are joined by shuffle instead of broadcast.
 BROADCAST_LANGUAGES = 10_000
+#: Texts are worked on in slices of about so many bytes; n-grams need some 70 times as much.
+SLICE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -190,7 +192,8 @@ def learn(docs: DataFrame) -> Model:
     rows = rows.filter(~fold(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = document_counts(b.column(0).to_pylist() for b in slices(batches))
+        counts, total = document_counts(b.column(0).to_pylist() for b in slices(batches, SLICE))
+        tidy()
         own = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), -1], pa.int32()), pa.array([*counts[own].tolist(), total], pa.int64())], ["bucket", "n"])
 
@@ -229,9 +232,10 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             langs, scores = own.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc", "lang_pred", "score"])
+        tidy()
 
     doc = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc")
     schema = docs.select(doc).schema.add("lang_pred", "string").add("score", "double")
@@ -248,8 +252,9 @@ def kept(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             langs, scores = own.predict([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, schema)

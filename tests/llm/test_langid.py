@@ -1,8 +1,10 @@
 """Language identification, stated again n-gram by n-gram and weight by weight."""
 
 import collections
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lodestone.llm import langid
 
@@ -97,3 +99,30 @@ def test_rows(spark):
     labelled = docs.withColumn("lang", langid.F.lit("en"))
     assert langid.identify(docs, langid.learn(labelled)).first().lang_pred in ("en", "und")
     assert langid.learn(labelled.limit(0)).languages == []
+
+
+def test_memory_does_not_follow_the_batch():
+    """Workers share an executor's memory: a batch of 8 MB needs no more than
+    one of its slices does."""
+
+    class Rows:
+        schema = None
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            return type("Held", (), {"value": value})
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    model = langid.Model(["a", "b"], np.zeros((1 << langid.BITS, 2)), np.zeros(2))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"word{k} " * 300 for k in range(4000)])], ["text"])
+    run = langid.kept(Rows(), model, 0.0)
+    assert sum(b.num_rows for b in run(iter([batch.slice(0, 10)]))) == 10
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == batch.num_rows
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()

@@ -28,7 +28,7 @@ BITS = 16
 PER_LANGUAGE, SAMPLE = 500, 8_000
 #: More languages than this are joined by shuffle instead of broadcast.
 BROADCAST_LANGUAGES = 10_000
-#: Texts are worked on in slices of about so many bytes; n-grams need some 70 times as much.
+#: Texts are worked on in slices of about so many bytes; n-grams need some 50 times as much.
 SLICE = 1 << 18
 UNKNOWN = "und"
 
@@ -219,7 +219,10 @@ def learn(docs: DataFrame) -> Model:
     # of rows that repeat an id, the least: at most SAMPLE
     sample = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("of")).select("doc_id", "of.*").collect()
     sample = sorted(sample, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id or 0, r.lang, r.text))
-    return train([r.text for r in sample], [r.lang for r in sample], idf)
+    model = train([r.text for r in sample], [r.lang for r in sample], idf)
+    del sample, found
+    tidy()  # the driver held the n-grams of the sample
+    return model
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] | None = None) -> DataFrame:

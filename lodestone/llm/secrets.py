@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .scratch import lowest, staged
-from .words import WORD_RE, slices
+from .words import WORD_RE, slices, tidy
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,7 +153,10 @@ def learn(docs: DataFrame) -> crf.Chain:
     ids = [lowest(narrow.filter(on), "doc_id", n).select("doc_id") for on, n in zip((F.col("marked"), ~F.col("marked")), SAMPLE, strict=True)]
     picked = staged(ids[0].unionAll(ids[1]).distinct(), "picked")  # at most sum(SAMPLE) rows
     texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # at most sum(SAMPLE)
-    return train(sorted(r.text for r in texts))
+    chain = train(sorted(r.text for r in texts))
+    del texts
+    tidy()  # the driver held what it trained on
+    return chain
 
 
 def chain_spans(words: list[re.Match], states: np.ndarray) -> list[tuple[int, int]]:
